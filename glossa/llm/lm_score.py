@@ -37,10 +37,16 @@ MU = 1000.0
 STEPS = 4096
 HOT = 1000
 SHARD_BYTES = 24 << 20
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
+PARTS = 4
+BLOCK_TOKENS, BLOCK_DOCS = 500_000, 60_000
 END, START = 1, 2  # hashes of the end token and of the context before the first word; words have none below 4
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_POPCOUNT = _BITS.sum(axis=1, dtype=np.uint8)
+_SELECT = np.argsort(1 - _BITS, axis=1, kind="stable")  # position of the k-th one of a byte
+
+
 class EliasFano:
     """A non-decreasing sequence of integers below 2**63, read through arrays that may be memory-mapped."""
 
@@ -63,19 +69,18 @@ class EliasFano:
         return {"low": np.concatenate([np.packbits(low.ravel(), bitorder="little"), np.zeros(8, np.uint8)]), "high": words, "rank": rank}, n, low_bits
 
     def _select(self, i: np.ndarray, ones: bool) -> np.ndarray:
-        """Position of the i-th (from 0) one or zero of the high bits."""
+        """Position of the i-th (from 0) one or zero of the high bits: its word by the ranks, its byte by popcounts, its bit by a table."""
         before = self.rank if ones else np.arange(len(self.rank)) * 64 - self.rank
-        word = np.searchsorted(before, i, side="right") - 1
-        word = np.minimum(word, len(self.rank) - 2)
-        out = np.empty(len(i), np.int64)
-        for a in range(0, len(i), 1 << 16):
-            w = word[a : a + (1 << 16)]
-            bits = np.unpackbits(self.high.reshape(-1, 8)[w], axis=1, bitorder="little")
-            if not ones:
-                bits ^= 1
-            at = np.cumsum(bits, axis=1, dtype=np.uint8) > (i[a : a + (1 << 16)] - before[w])[:, None]
-            out[a : a + (1 << 16)] = w * 64 + at.argmax(axis=1)
-        return out
+        word = np.minimum(np.searchsorted(before, i, side="right") - 1, len(self.rank) - 2)
+        octets = self.high.reshape(-1, 8)[word]
+        if not ones:
+            octets ^= 255
+        left = (i - before[word]).astype(np.uint8)
+        upto = np.cumsum(_POPCOUNT[octets], axis=1, dtype=np.uint8)
+        octet = np.minimum((upto <= left[:, None]).sum(axis=1), 7)
+        row = np.arange(len(i))
+        own = octets[row, octet]
+        return word * 64 + octet * 8 + _SELECT[own, (left - upto[row, octet] + _POPCOUNT[own]) & 7]
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -153,13 +158,18 @@ class Trie:
         del self.sequences, self.file, self.backoff, self.values
         os.unlink(self.path)
 
-    def lookup(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Stored steps of each (word, context), -1 where the pair isn't there."""
+    def lookup(self, words: np.ndarray, owner: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Stored steps of each pair (words[owner], context), -1 where it isn't there; every word and context is found once."""
         s = self.sequences
-        word, name = s["words"].find(words), s["names"].find(contexts)
-        out, there = np.full(len(words), -1, np.int64), np.flatnonzero((word >= 0) & (name >= 0))
-        w = word[there]
-        at = s["contexts"].find(s["bases"].access(w) + name[there], s["ranges"].access(w), s["ranges"].access(w + 1))
+        word = s["words"].find(words)
+        known = np.maximum(word, 0)
+        some = bool(s["words"].n)
+        base, first, end = (s[k].access(known + i) if some else known for k, i in (("bases", 0), ("ranges", 0), ("ranges", 1)))
+        distinct, at = np.unique(contexts, return_inverse=True)
+        name = s["names"].find(distinct)[at]
+        out, there = np.full(len(owner), -1, np.int64), np.flatnonzero((word[owner] >= 0) & (name >= 0))
+        o = owner[there]
+        at = s["contexts"].find(base[o] + name[there], first[o], end[o])
         out[there[at >= 0]] = self.values[at[at >= 0]]
         return out
 
@@ -302,24 +312,34 @@ def shard_scorer(n_docs: int, tokens: int, distinct: int, hot: dict[int, int], m
     """A function from the packets of a shard to the shard's share of each document's sums."""
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        read = lambda name, kind: [np.frombuffer(x, kind) for x in pdf[name]]
-        trains, docs = read("trains", np.uint8), read("docs", np.uint16)
+        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[name]])
+        trains = [np.frombuffer(x, np.uint8) for x in pdf.trains]
         starts = np.concatenate([[0], np.cumsum([len(t) for t in trains])])
-        doc = np.concatenate([d.astype(np.int64) + s for d, s in zip(docs, starts[:-1], strict=True)])
-        times = np.concatenate(read("times", np.uint32)).astype(np.int64)
-        pair_docs, word_pairs = np.concatenate(read("pair_docs", np.uint32)), np.concatenate(read("word_pairs", np.uint32))
-        word_of_pair = np.repeat(np.concatenate(read("words", np.int64)), word_pairs)
-        context_of_pair = np.concatenate(read("contexts", np.int64))
-        pair_of_entry = np.repeat(np.arange(len(pair_docs)), pair_docs)
-        taught = np.where(np.concatenate(trains)[doc] > 0, times, 0)
-        order = np.lexsort((context_of_pair, word_of_pair))
-        w, h = word_of_pair[order], context_of_pair[order]
+        packet = np.repeat(np.arange(len(pdf)), [len(x) // 2 for x in pdf.docs]).astype(np.int32)
+        local, times, pair_docs = read("docs", np.uint16), read("times", np.uint32), read("pair_docs", np.uint32)
+        words, word_pairs, contexts = read("words", np.int64), read("word_pairs", np.uint32), read("contexts", np.int64)
+        part_of_pair = np.repeat((mix(words.astype(np.uint64)) >> np.uint64(40)) % np.uint64(PARTS), word_pairs).astype(np.uint8)
+        sums = {"score": np.zeros(starts[-1], np.int64), "base": np.zeros(starts[-1]), "known": np.zeros(starts[-1], np.uint32), "n": np.zeros(starts[-1], np.uint32)}
+        for part in range(PARTS):  # words apart from one another, so a part of the shard is enough at a time
+            pairs = np.flatnonzero(part_of_pair == part)
+            if not len(pairs):
+                continue
+            entries = np.flatnonzero(np.repeat(part_of_pair == part, pair_docs))
+            doc = local[entries] + starts[packet[entries]]
+            taught = np.concatenate(trains)[doc] > 0
+            _score_part(sums, np.repeat(words, word_pairs)[pairs], contexts[pairs], np.repeat(np.arange(len(pairs)), pair_docs[pairs]), doc, times[entries], taught)
+        cut = lambda x: [x[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        return pd.DataFrame({"block": pdf.block, "shard": pdf["shard"], "ids": pdf.ids, "trains": pdf.trains.where(pdf.ids.map(len) > _NO_IDS, b""), **{k: cut(v) for k, v in sums.items()}})
+
+    def _score_part(sums: dict, word: np.ndarray, context: np.ndarray, pair_of_entry: np.ndarray, doc: np.ndarray, times: np.ndarray, taught: np.ndarray) -> None:
+        order = np.lexsort((context, word))
+        w, h = word[order], context[order]
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])])
-        number = np.empty(len(order), np.int64)
+        number = np.empty(len(order), np.int32)
         number[order] = np.cumsum(new) - 1
         w, h = w[new], h[new]
         entry = number[pair_of_entry]
-        pair_count = np.bincount(entry, taught, len(w)).astype(np.int64)
+        pair_count = np.bincount(entry, np.where(taught, times, 0), len(w)).astype(np.int64)
         words, at = np.unique(w, return_inverse=True)
         count = np.bincount(at, pair_count, len(words)).astype(np.int64)
         for k, n in hot.items():  # spread over all shards, so counted before
@@ -334,20 +354,16 @@ def shard_scorer(n_docs: int, tokens: int, distinct: int, hot: dict[int, int], m
         place = np.full(len(words), -1)
         place[known] = np.arange(len(known))
         with Trie(words[known], _steps(np.log10(count[known] + mu)), place[at[seen]], h[seen], value) as trie:
-            found = np.concatenate([trie.lookup(w[i : i + (1 << 18)], h[i : i + (1 << 18)]) for i in range(0, len(w), 1 << 18)])
+            found = trie.lookup(words, at, h)
             after = np.full(len(words), _steps(np.log10(mu)))
             after[known] = trie.backoff
         after[words == END] = 0  # nothing follows the end
         gained = np.where(found >= 0, found, low[at]) - after[at]
-        total = starts[-1]
-        sums = {
-            "score": np.bincount(doc, gained[entry] * times, total).astype(np.int64),
-            "base": np.bincount(doc, unigram[at[entry]] * times, total),
-            "known": np.bincount(doc, np.where(count[at[entry]] > 0, times, 0), total).astype(np.uint32),
-            "n": np.bincount(doc, times, total).astype(np.uint32),
-        }
-        cut = lambda x: [x[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        return pd.DataFrame({"block": pdf.block, "shard": pdf["shard"], "ids": pdf.ids, "trains": pdf.trains.where(pdf.ids.map(len) > _NO_IDS, b""), **{k: cut(v) for k, v in sums.items()}})
+        total, word_of_entry = len(sums["n"]), at[entry]
+        sums["score"] += np.bincount(doc, gained[entry] * times.astype(np.int64), total).astype(np.int64)
+        sums["base"] += np.bincount(doc, unigram[word_of_entry] * times, total)
+        sums["known"] += np.bincount(doc, np.where(count[word_of_entry] > 0, times, 0), total).astype(np.uint32)
+        sums["n"] += np.bincount(doc, times, total).astype(np.uint32)
 
     return score
 
