@@ -105,10 +105,8 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(likely("regs_a", "regs_b", "n_a", "n_b") >= percent / 100 - MARGIN).select("a", "b")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(a, b) pairs whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    texts = materialize(docs.join(ids, F.col(id_col) == F.col("__id"), "left_semi").select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "dedup-texts")
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs whose full shingle sets reach the threshold; texts(node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +124,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perce
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    side = lambda x: texts.select(F.col("__id").alias(x), F.col("__text").alias(f"text_{x}"))
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
@@ -199,7 +197,7 @@ def bridge_labels(shared: DataFrame, labels: DataFrame, nodes: DataFrame, percen
     return tiles.select("key", "low", "high", "part", "label", "n_shingles", "regs").groupBy("key", "low", "high").applyInPandas(tile, "a long, b long").distinct()
 
 
-def exact_bridges(bridges: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def exact_bridges(bridges: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): confirmed links between components that bridges put together, as a spanning forest for each tile.
 
     In each cluster of components every vertex outside the largest one is held against all vertices on
@@ -212,8 +210,7 @@ def exact_bridges(bridges: DataFrame, labels: DataFrame, nodes: DataFrame, docs:
     largest = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"))
     minors = sizes.join(largest, "cluster").where("label != main").groupBy("cluster").agg(F.sum("n").alias("minor_size"))
     named = named.join(largest, "cluster").join(minors, "cluster").withColumn("minor", F.col("label") != F.col("main"))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(named.select("node").distinct(), "node", "left_semi")
-    full = materialize(named.join(texts, "node"), "dedup-texts")
+    full = materialize(named.join(texts, "node"), "dedup-named-texts")
     rows, columns = F.ceil(F.col("minor_size") / TEXTS).cast("int"), F.ceil(F.col("size") / TEXTS).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -267,10 +264,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialize(likely_pairs(star, nodes, percent), "dedup-pairs")
     rows = members.select("doc_id", "rep").distinct()
     same_id = rows.join(rows.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a < rep").select("a", F.col("rep").alias("b"))
-    links = materialize(confirm(pairs, docs, id_col, text_col, percent).union(same_id), "dedup-links")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(shared.select("node").distinct(), "node", "left_semi")
+    texts = materialize(texts, "dedup-texts")
+    links = materialize(confirm(pairs, texts, percent).union(same_id), "dedup-links")
     labels = components(links)
     bridges = materialize(bridge_labels(shared, labels, nodes, percent), "dedup-bridges")
-    links = materialize(links.union(exact_bridges(bridges, labels, nodes, docs, id_col, text_col, percent)), "dedup-links")
+    links = materialize(links.union(exact_bridges(bridges, labels, nodes, texts, percent)), "dedup-links")
     labels = components(links)
     known = members.select("doc_id", F.col("rep").alias("node")).distinct().join(labels, "node", "left")
     known = known.groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("__component"))
