@@ -188,13 +188,17 @@ def bridge_labels(shared: DataFrame, labels: DataFrame, nodes: DataFrame, percen
         columns = np.flatnonzero(part == high)
         for i in np.flatnonzero(part == low):
             js = columns[(groups.at[columns] != groups.at[i]) & (100 * np.minimum(size[columns], size[i]) >= percent * np.maximum(size[columns], size[i]))]
+            if len(js):
+                js = js[(regs[i] == regs[js]).sum(axis=1) >= (percent / 100 - MARGIN) * M]  # fewer are as unlikely as an estimate that low
             if len(js):
                 more, less = (regs[i] > regs[js]).sum(axis=1), (regs[i] < regs[js]).sum(axis=1)
                 likely = estimate_from_counts(more, less, np.full(len(js), size[i]), size[js]) >= percent / 100 - MARGIN
                 found += [(label[i], label[j]) for j in groups.join(i, js[likely])]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return tiles.select("key", "low", "high", "part", "label", "n_shingles", "regs").groupBy("key", "low", "high").applyInPandas(tile, "a long, b long").distinct()
+    spread = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = tiles.select("key", "low", "high", "part", "label", "n_shingles", "regs").repartition(spread, "key", "low", "high")
+    return tiles.groupBy("key", "low", "high").applyInPandas(tile, "a long, b long").distinct()
 
 
 def exact_bridges(bridges: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -244,7 +248,8 @@ def exact_bridges(bridges: DataFrame, labels: DataFrame, nodes: DataFrame, texts
                 found += [(min(node[i], node[j]), max(node[i], node[j])) for j in groups.join(i, js)]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return tiles.groupBy("cluster", "row", "column").applyInPandas(tile, "a long, b long").distinct()
+    spread = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(spread, "cluster", "row", "column").groupBy("cluster", "row", "column").applyInPandas(tile, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
