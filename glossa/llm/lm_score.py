@@ -36,7 +36,7 @@ from glossa.llm.words import hash_words, mix, text_batches
 MU = 1000.0
 STEPS = 4096
 HOT = 1000
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 PARTS = 4
 BLOCK_TOKENS, BLOCK_DOCS = 500_000, 60_000
 END, START = 1, 2  # hashes of the end token and of the context before the first word; words have none below 4
