@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 #: White space and line ends as str.isspace and str.splitlines see them, as contents of a Java character class.
 BLANK = r"\t\x0b\f\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = BLANK + r"\n"
-LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
+BREAKS = r"\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029"
+LINE_END = rf"\r\n|[{BREAKS}]"
+#: White space that doesn't end a line.
+INNER = r"\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 WORD_CHAR = r"\p{L}\p{N}_"
 #: Nd, and the superscript and subscript digits that str.isdigit counts as well.
 DIGIT = r"\p{Nd}\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089"
@@ -59,10 +62,11 @@ def count_substring(text: Column, token: str) -> Column:
 
 
 def has_word(text: Column, word: str) -> Column:
-    """Whether the word occurs with no letter, digit or underscore next to it."""
+    """Whether the word occurs with no letter, digit or underscore next to it; the literal is searched before its neighbours are looked at."""
     if not word:
         return F.lit(False)
-    return text.rlike(f"(?<![{WORD_CHAR}]){quote(word)}(?![{WORD_CHAR}])")
+    w = quote(word)
+    return F.contains(text, F.lit(word)) & text.rlike(f"{w}(?![{WORD_CHAR}])(?<![{WORD_CHAR}]{w})")
 
 
 def has_regex(text: Column, pattern: str) -> Column:
@@ -71,23 +75,24 @@ def has_regex(text: Column, pattern: str) -> Column:
 
 
 def line_starts_with(text: Column, prefix: str) -> Column:
-    return F.exists(split_lines(text), lambda x: F.startswith(lstrip(x), F.lit(prefix)))
+    """A line that starts so after its indent; blank lines before it may be skipped along with the indent."""
+    return F.contains(text, F.lit(prefix)) & text.rlike(rf"(?:\A|[{BREAKS}])[{SPACES}]*+{quote(prefix)}")
 
 
 def has_indent_colon(text: Column) -> Column:
     """A line that ends in a colon once its comment and trailing space are gone."""
-    return F.exists(split_lines(text), lambda x: F.endswith(rstrip(F.substring_index(x, "#", 1)), F.lit(":")))
+    return text.rlike(rf"(?:\A|[{BREAKS}])[^#{BREAKS}]*:[{INNER}]*(?:#|\z|[{BREAKS}])")
 
 
 def has_leading_indent(text: Column, width: int) -> Column:
     if width <= 0:
         return F.lit(False)
-    return F.exists(split_lines(text), lambda x: F.startswith(x, F.lit(" " * width)) & x.rlike(f"[^{SPACES}]"))
+    return text.rlike(rf"(?:\A|[{BREAKS}]) {{{width}}}[{INNER}]*+[^{SPACES}]")
 
 
 def yaml_key_value(text: Column) -> Column:
     """A line `key: ` whose key is letters and digits besides - and _."""
-    return F.exists(split_lines(text), lambda x: lstrip(x).rlike(r"^[\p{L}\p{N}_-]*[\p{L}\p{N}][\p{L}\p{N}_-]*: "))
+    return text.rlike(rf"(?:\A|[{BREAKS}])[{SPACES}]*+[\p{{L}}\p{{N}}_-]*[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_-]*: ")
 
 
 def word_tokens(text: Column, longer_than: int = 4) -> Column:

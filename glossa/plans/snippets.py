@@ -21,7 +21,11 @@ LABELS = {"en": "English", "de": "German", "fr": "French"}
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Documents under the engine's column names; an input of fewer partitions than cores is dealt out, as the work per byte is high."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
     return docs.select(F.col("doc_id").alias("FileId"), F.col("lang").alias("Language"), F.col("text").alias("Snippet"))
 
 
@@ -46,7 +50,7 @@ hits AS (SELECT lang, idx, count(*)::BIGINT AS m FROM documents, v WHERE contain
 SELECT s.lang AS "Language", v.idx, coalesce(m, 0)::BIGINT AS "NMatches", n AS "NSamples", coalesce(m, 0) / n::DOUBLE AS "Occurrence"
 FROM sizes s CROSS JOIN v LEFT JOIN hits h ON h.lang = s.lang AND h.idx = v.idx""")
 def token_stats(spark, sf_dir):
-    return metrics.token_stats(features.with_features(files(spark, sf_dir), VOCAB), VOCAB)
+    return metrics.token_stats(features.with_features(files(spark, sf_dir), VOCAB, engine="arrow"), VOCAB)
 
 
 @query("SELECT lang AS \"Language\", count(*)::BIGINT AS \"count\" FROM documents GROUP BY lang")
