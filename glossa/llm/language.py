@@ -112,7 +112,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, teaches: C
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["lang", "i", "x"])
 
-    taught = docs.where(teaches & F.col(lang_col).isNotNull()).select(text_col, F.col(lang_col).alias("__lang"))
+    taught = docs.where(teaches & F.col(lang_col).isNotNull()).select(text_col, F.col(lang_col).alias("__glossa_lang"))
     sums = taught.mapInArrow(run, "lang string, i int, x long").groupBy("lang", "i").agg(F.sum("x").alias("x"))
     prototypes: dict[str, np.ndarray] = {}
     for lang, i, x in sums.collect():
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
 
     kept = docs.select(*columns) if keep is not None else docs.select(F.col(id_col).cast("long").alias("doc_id"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double"
-    source = docs.select(*[F.col(c) for c in columns], F.col(text_col).alias("__text")) if keep is not None else docs.select(F.col(id_col).cast("long"), F.col(text_col))
+    source = docs.select(*[F.col(c) for c in columns], F.col(text_col).alias("__glossa_text")) if keep is not None else docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return source.mapInArrow(run, schema)
 
 

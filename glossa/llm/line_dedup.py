@@ -30,10 +30,10 @@ def common_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
     """(id, drops): for each document the fingerprints of the lines it loses."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     keys = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars)
-    seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(F.transform(keys, _fingerprint))).alias("k")).select("__id", "k.h1", "k.h2")
-    counted = seen.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = seen.join(counted, ["h1", "h2"]).where(F.col("__id") != F.col("keeper"))
-    return lost.groupBy("__id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
+    seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__glossa_id"), F.explode(F.array_distinct(F.transform(keys, _fingerprint))).alias("k")).select("__glossa_id", "k.h1", "k.h2")
+    counted = seen.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__glossa_id").alias("keeper")).where(F.col("n") >= min_docs)
+    lost = seen.join(counted, ["h1", "h2"]).where(F.col("__glossa_id") != F.col("keeper"))
+    return lost.groupBy("__glossa_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__glossa_drops"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -46,14 +46,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*rest)
     drops = common_lines(docs, id_col, text_col, min_chars, min_docs)
-    known = docs.where(F.col(id_col).isNotNull()).join(drops, F.col(id_col) == F.col("__id"), "left").drop("__id")
-    every = known.unionByName(docs.where(F.col(id_col).isNull()).withColumn("__drops", F.lit(None).cast(_DROPS)))
+    known = docs.where(F.col(id_col).isNotNull()).join(drops, F.col(id_col) == F.col("__glossa_id"), "left").drop("__glossa_id")
+    every = known.unionByName(docs.where(F.col(id_col).isNull()).withColumn("__glossa_drops", F.lit(None).cast(_DROPS)))
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     keyed = F.transform(lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
-    kept = F.filter(keyed, lambda x: ~((F.length(x["key"]) >= min_chars) & F.array_contains(F.col("__drops"), _fingerprint(x["key"]))))
+    kept = F.filter(keyed, lambda x: ~((F.length(x["key"]) >= min_chars) & F.array_contains(F.col("__glossa_drops"), _fingerprint(x["key"]))))
     kept = F.transform(kept, lambda x: x["line"])
-    every = every.withColumn("__kept", F.when(F.col("__drops").isNotNull(), kept))
+    every = every.withColumn("__glossa_kept", F.when(F.col("__glossa_drops").isNotNull(), kept))
     n_lines = F.size(lines).cast("long")
-    text = F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text_col)).alias(text_col)
-    dropped = F.when(F.col("__kept").isNotNull(), n_lines - F.size("__kept")).otherwise(F.lit(0)).cast("long")
+    text = F.when(F.col("__glossa_kept").isNotNull(), F.array_join("__glossa_kept", "\n")).otherwise(F.col(text_col)).alias(text_col)
+    dropped = F.when(F.col("__glossa_kept").isNotNull(), n_lines - F.size("__glossa_kept")).otherwise(F.lit(0)).cast("long")
     return every.select(*[text if c == text_col else F.col(c) for c in rest], n_lines.alias("n_lines"), dropped.alias("n_dropped"))

@@ -62,28 +62,28 @@ def mix_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), ratio: floa
         if level == 1:
             inside = sized.select("source", "size", key)
         else:
-            e = edge.select(F.col("source").alias("__s"), "prefix")
-            inside = sized.join(F.broadcast(e) if few else e, F.col("source").eqNullSafe(F.col("__s")) & (F.shiftrightunsigned("hash", shift + BITS) == F.col("prefix"))).select("source", "size", key)
+            e = edge.select(F.col("source").alias("__glossa_s"), "prefix")
+            inside = sized.join(F.broadcast(e) if few else e, F.col("source").eqNullSafe(F.col("__glossa_s")) & (F.shiftrightunsigned("hash", shift + BITS) == F.col("prefix"))).select("source", "size", key)
         hist = inside.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
         running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-        e = edge.select(F.col("source").alias("__s"), "rest")
-        here = hist.join(e, F.col("source").eqNullSafe(F.col("__s"))).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")))
+        e = edge.select(F.col("source").alias("__glossa_s"), "rest")
+        here = hist.join(e, F.col("source").eqNullSafe(F.col("__glossa_s"))).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")))
         edge = materialize(here.select("source", (F.col("rest") - F.col("before")).alias("rest"), F.col("bucket").alias("prefix"), "n"), "mix-edge")
         few = edge.count() <= BROADCAST_SOURCES
     near = (F.col("prefix") + F.when(F.col("n") - F.col("rest") < F.col("rest"), 1).otherwise(0)).alias("threshold")
-    e = edge.select(F.col("source").alias("__s"), near)
-    joined = plan.join(e, F.col("source").eqNullSafe(F.col("__s")), "left")
+    e = edge.select(F.col("source").alias("__glossa_s"), near)
+    joined = plan.join(e, F.col("source").eqNullSafe(F.col("__glossa_s")), "left")
     return joined.select("source", "source_size", "target", "repeats", F.coalesce("threshold", F.lit(0)).alias("threshold"))
 
 
 def with_copies(df: DataFrame, plan: DataFrame, source_col: str = "source", hash_col: str = "hash") -> DataFrame:
     """Add source_size, target and copies (how often the mix takes the row) to rows that carry a source and a hash."""
-    p = plan.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "repeats", F.col("threshold").alias("__threshold"))
+    p = plan.select(F.col("source").alias("__glossa_s"), F.col("source_size").alias("__glossa_source_size"), F.col("target").alias("__glossa_target"), F.col("repeats").alias("__glossa_repeats"), F.col("threshold").alias("__glossa_threshold"))
     if plan.count() <= BROADCAST_SOURCES:
         p = F.broadcast(p)
-    copies = (F.col("repeats") + (F.col(hash_col) < F.col("__threshold")).cast("long")).alias("__copies")
-    return df.join(p, df[source_col].eqNullSafe(F.col("__s"))).select(*[df[c] for c in df.columns], "__source_size", "__target", copies)
+    copies = (F.col("__glossa_repeats") + (F.col(hash_col) < F.col("__glossa_threshold")).cast("long")).alias("__glossa_copies")
+    return df.join(p, df[source_col].eqNullSafe(F.col("__glossa_s"))).select(*[df[c] for c in df.columns], "__glossa_source_size", "__glossa_target", copies)
 
 
 def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -95,12 +95,12 @@ def mix_table(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken."""
     sized = sized_rows(docs)
     out = with_copies(sized, mix_plan(sized, **options))
-    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
+    return out.select("doc_id", "size", F.col("__glossa_source_size").alias("source_size"), F.col("__glossa_target").alias("target"), (F.col("size") * F.col("__glossa_copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: rows of `docs`, all their columns, each as often as the mix takes it (0 to 2 times)."""
     plan = mix_plan(sized_rows(docs, id_col, text_col, source_col), **options)
-    taken = with_copies(docs.withColumn("__hash", hash36(id_col)), plan, source_col, "__hash").where("__copies > 0")
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
-    return taken.select(*docs.columns, again).drop("__copy")
+    taken = with_copies(docs.withColumn("__glossa_hash", hash36(id_col)), plan, source_col, "__glossa_hash").where("__glossa_copies > 0")
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__glossa_copies"))).alias("__glossa_copy")
+    return taken.select(*docs.columns, again).drop("__glossa_copy")

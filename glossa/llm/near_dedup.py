@@ -285,5 +285,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of `docs`, all their columns, that come first in their group; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("__glossa_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__glossa_gone"), "left_anti").select(*docs.columns)

@@ -116,9 +116,11 @@ class AdditiveModel:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> AdditiveModel:
         bins, coarse, rounds, n_pairs, pair_rounds, rate, leaves = self.options
-        share = float(y.mean()) if len(y) else 0.5
+        if not len(y):
+            return self
+        share = float(y.mean())
         if not 0 < share < 1:
-            self.base = float(np.log((share + 1e-3) / (1 - share + 1e-3))) if len(y) else 0.0
+            self.base = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
             return self
         self.base = float(np.log(share / (1 - share)))
         self.cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
