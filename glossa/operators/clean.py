@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.operators.sample import numbered
 
 FENCE = "```"
 #: Languages left out before chunking, and the limits of the junk filter.
@@ -112,7 +113,7 @@ def rebalance(df: DataFrame, label_col: str = "Language", id_cols: tuple[str, ..
         return df
     largest = F.col(label_col).eqNullSafe(F.lit(top[0][label_col]))
     order = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in id_cols]).cast("binary"))
-    thinned = df.where(largest).withColumn("__h", order).orderBy("__h", *id_cols).limit(top[1]["count"]).drop("__h")
+    thinned = numbered(df.where(largest), [label_col], order, list(id_cols)).where(F.col("__i") <= top[1]["count"]).drop("__i", "__n")
     return thinned.unionByName(df.where(~largest))
 
 

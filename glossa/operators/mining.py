@@ -50,7 +50,11 @@ def top_tokens(mined: DataFrame, k: int = 186) -> DataFrame:
 
 
 def gini_of(df: DataFrame, value_col: str) -> DataFrame:
-    """Gini concentration of a column, by a running sum over its sorted values; one row."""
-    running = df.select(F.col(value_col).alias("v"), F.sum(value_col).over(Window.orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
-    sums = running.agg(F.count("v").alias("n"), F.sum("v").alias("t"), F.sum("c").alias("c"))
-    return sums.select(F.when(F.col("t") != 0, (F.col("n") + 1 - 2 * F.col("c") / F.col("t")) / F.col("n")).otherwise(F.lit(0.0)).alias("gini"))
+    """Gini concentration of a column, by a running sum over its distinct values; one row.
+
+    A value that occurs c times after a running sum of b adds c * b + v * c * (c + 1) / 2 to the sum of running sums.
+    """
+    values = df.groupBy(F.col(value_col).alias("v")).agg(F.count(F.lit(1)).alias("c")).where(F.col("v").isNotNull())
+    before = F.coalesce(F.sum(F.col("v") * F.col("c")).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = values.select("v", "c", before.alias("b")).agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("t"), F.sum(F.col("c") * F.col("b") + F.col("v") * F.col("c") * (F.col("c") + 1) / 2).alias("s"))
+    return sums.select(F.when(F.col("t") != 0, (F.col("n") + 1 - 2 * F.col("s") / F.col("t")) / F.col("n")).otherwise(F.lit(0.0)).alias("gini"))

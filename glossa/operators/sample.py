@@ -10,9 +10,26 @@ def hash_order(id_col: str, seed: str) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(seed)).cast("binary"))
 
 
+def numbered(df: DataFrame, by: list[str], order: Column, ties: list[str]) -> DataFrame:
+    """Add __i, the number (from 1) of each row of its group in the order of a hexadecimal hash, and __n, the group's size.
+
+    A group is cut by the first four digits of the hash, which keep its order, so no task sorts a whole
+    group: a row's number is its number among those with the same digits plus the counts before them.
+    """
+    keyed = df.withColumn("__h", order).withColumn("__b", F.substring("__h", 1, 4))
+    counts = keyed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__b").alias("__bb"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"), F.sum("__c").over(whole).alias("__n"))
+    same = F.col("__b") == F.col("__bb")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{k}"))
+    within = Window.partitionBy(*by, "__b").orderBy("__h", *ties)
+    return keyed.join(base, same).withColumn("__i", F.col("__before") + F.row_number().over(within)).select(*df.columns, "__i", "__n")
+
+
 def _numbered(df: DataFrame, by: list[str], id_col: str, seed: str) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(hash_order(id_col, seed), id_col)
-    return df.withColumn("__i", F.row_number().over(order)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    return numbered(df, by, hash_order(id_col, seed), [id_col])
 
 
 def stratified_sample(df: DataFrame, fraction: float, label_col: str = "Language", id_col: str = "FileId", seed: str = "0") -> DataFrame:
