@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import SPACE, lower_ascii
+from glossa.llm.common import SPACE, lower_ascii, materialize
 
 _DROPS = "array<struct<h1:bigint,h2:int>>"
 
@@ -31,7 +31,8 @@ def common_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     keys = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars)
     seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__glossa_id"), F.explode(F.array_distinct(F.transform(keys, _fingerprint))).alias("k")).select("__glossa_id", "k.h1", "k.h2")
-    counted = seen.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__glossa_id").alias("keeper")).where(F.col("n") >= min_docs)
+    seen = materialize(seen.distinct(), "line-keys")  # read twice: to count, and to bring the counts back
+    counted = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__glossa_id").alias("keeper")).where(F.col("n") >= min_docs)
     lost = seen.join(counted, ["h1", "h2"]).where(F.col("__glossa_id") != F.col("keeper"))
     return lost.groupBy("__glossa_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__glossa_drops"))
 
