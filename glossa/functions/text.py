@@ -61,17 +61,18 @@ def count_substring(text: Column, token: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(token), F.lit("")))) / len(token)).cast("long")
 
 
-def has_word(text: Column, word: str) -> Column:
+def has_word(text: Column, word: str, ascii_only: bool = False) -> Column:
     """Whether the word occurs with no letter, digit or underscore next to it; the literal is searched before its neighbours are looked at."""
+    near = "A-Za-z0-9_" if ascii_only else WORD_CHAR
     if not word:
         return F.lit(False)
     w = quote(word)
-    return F.contains(text, F.lit(word)) & text.rlike(f"{w}(?![{WORD_CHAR}])(?<![{WORD_CHAR}]{w})")
+    return F.contains(text, F.lit(word)) & text.rlike(f"{w}(?![{near}])(?<![{near}]{w})")
 
 
-def has_regex(text: Column, pattern: str) -> Column:
-    """Search with Python's multi-line, Unicode meaning."""
-    return text.rlike(f"(?dmU){pattern}")
+def has_regex(text: Column, pattern: str, ascii_only: bool = False) -> Column:
+    """Search with Python's multi-line, Unicode meaning, or with a browser's, whose words are ASCII and whose lines end at carriage returns too."""
+    return text.rlike(f"(?{'m' if ascii_only else 'dmU'}){pattern}")
 
 
 def line_starts_with(text: Column, prefix: str) -> Column:

@@ -73,6 +73,9 @@ def test_rules(spark):
     found = value(spark, "import os\nclass A:\n    def f(self): return None", rules.active_rules)
     assert {"HasImport", "HasClass", "HasDef", "HasSelf", "HasNoneTC", "HasIndentColon", "HasIndentFourSpaces", "HasDefLineColon"} <= set(found)
     assert value(spark, None, rules.active_rules) == []
+    js = lambda t: rules.active_rules(t, dialect="js")
+    assert "HasConst" in value(spark, "éconst x", js) and "HasConst" not in value(spark, "éconst x", rules.active_rules)
+    assert "HasDollarVar" in value(spark, "$é", rules.active_rules) and "HasDollarVar" not in value(spark, "$é", js)
     for text, want in {"func main() {": "go", "SELECT 1": "unknown", "def a(x):\n  pass": "python", "def a\n  1\nend": "ruby", "<?php echo": "php", "function a() { var x; window.y }": "javascript", "public class A {": "java"}.items():
         assert value(spark, text, rules.decide) == want
 
