@@ -2,7 +2,8 @@
 
 Each document gives its distinct line keys once, as a 96-bit hash; documents are counted per hash in
 two steps, so a line that stands in every document is never gathered in one task; only the hashes over
-the threshold come back to their documents, which keep their other lines in place.
+the threshold come back to their documents, the most frequent in several parts each; documents keep
+their other lines in place.
 
 Nulls and odd inputs: null and empty texts are one empty line; rows with a null id are neither counted
 nor changed; rows that repeat an id count as one document; an empty table gives no rows.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import SPACE, lower_ascii, materialize
+from glossa.llm.common import SPACE, lower_ascii, materialize, spread_join
 
 _DROPS = "array<struct<h1:bigint,h2:int>>"
 
@@ -32,8 +33,9 @@ def common_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
     keys = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars)
     seen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__glossa_id"), F.explode(F.array_distinct(F.transform(keys, _fingerprint))).alias("k")).select("__glossa_id", "k.h1", "k.h2")
     seen = materialize(seen.distinct(), "line-keys")  # read twice: to count, and to bring the counts back
-    counted = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__glossa_id").alias("keeper")).where(F.col("n") >= min_docs)
-    lost = seen.join(counted, ["h1", "h2"]).where(F.col("__glossa_id") != F.col("keeper"))
+    counted = seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("__n"), F.max("__glossa_id").alias("keeper")).where(F.col("__n") >= min_docs)
+    counted = materialize(counted, "line-counts")
+    lost = spread_join(seen, counted.drop("__n"), ["h1", "h2"], counted.drop("keeper"), "__glossa_id").where(F.col("__glossa_id") != F.col("keeper"))
     return lost.groupBy("__glossa_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__glossa_drops"))
 
 
