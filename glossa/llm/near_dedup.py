@@ -5,7 +5,8 @@ exponential variates for that register, on an exponentially spaced scale of base
 registers give candidates, a joint likelihood of the register order estimates their similarity, and
 those not clearly under the threshold are confirmed on full sets.
 
-Large groups never become all pairs. Equal sets are one vertex. In each band bucket the smallest vertex
+Large groups never become all pairs, and no group is gathered in one task: joins deal the rows of a
+frequent set, bucket, leader, neighbour or component over parts. Equal sets are one vertex. In each band bucket the smallest vertex
 leads and only (leader, member) pairs are confirmed; links are joined to components; then buckets that
 still hold several components are compared by registers in tiles of bounded size, and components that
 may be linked are held against each other on full sets, again in tiles. Tiles emit a spanning forest,
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialize
+from glossa.llm.common import materialize, spread_join
 from glossa.llm.words import mix, shingle_sets, text_batches
 
 M, ROWS, B, RATE = 128, 4, 1.001, 20.0
@@ -97,10 +98,14 @@ def _sizes_fit(percent: int) -> Column:
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
+def _row_counts(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+
+
 def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) pairs that sizes and registers don't rule out."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(percent))
+    both = spread_join(pairs, side("a"), ["a"], _row_counts(pairs, "a"), "b").join(side("b"), "b").where(_sizes_fit(percent))
     likely = F.pandas_udf(_likely, "double")
     return both.where(likely("regs_a", "regs_b", "n_a", "n_b") >= percent / 100 - MARGIN).select("a", "b")
 
@@ -125,7 +130,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+    joined = spread_join(pairs.join(side("b"), "b"), side("a"), ["a"], _row_counts(pairs, "a"), "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -136,12 +141,14 @@ def components(links: DataFrame) -> DataFrame:
     chains shorten by doubling; rounds are written out, and end when no label changes.
     """
     edges = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "dedup-edges")
+    degrees = materialize(_row_counts(edges, "b"), "dedup-degrees")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "dedup-labels")
     while True:
-        seen = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label").union(labels)
-        low = seen.groupBy("node").agg(F.min("label").alias("low"))
+        told = spread_join(edges, labels.select(F.col("node").alias("b"), "label"), ["b"], degrees, "a")
+        seen = told.select(F.col("a").alias("node"), "label").union(labels)
+        low = materialize(seen.groupBy("node").agg(F.min("label").alias("low")), "dedup-low")
         hop = labels.select(F.col("node").alias("low"), F.col("label").alias("__next"))
-        moved = low.join(hop, "low").select("node", F.least("low", "__next").alias("label"))
+        moved = spread_join(low, hop, ["low"], _row_counts(low, "low"), "node").select("node", F.least("low", "__next").alias("label"))
         old = labels.select("node", F.col("label").alias("__old"))
         moved = materialize(moved.join(old, "node"), "dedup-labels")
         labels = moved.select("node", "label")
@@ -178,7 +185,8 @@ def bridge_labels(shared: DataFrame, labels: DataFrame, nodes: DataFrame, percen
     """
     members = shared.where("node != leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x != y").select("key", "size")
-    tiles = _tiled(members.join(mixed, "key").join(nodes, "node"), "size", TILE)
+    mixed = materialize(mixed, "dedup-mixed")
+    tiles = _tiled(spread_join(members, mixed, ["key"], mixed.select("key", F.col("size").alias("__n")), "node").join(nodes, "node"), "size", TILE)
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = pdf.low.iloc[0], pdf.high.iloc[0]
@@ -209,11 +217,13 @@ def exact_bridges(bridges: DataFrame, labels: DataFrame, nodes: DataFrame, texts
     """
     clusters = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
     named = nodes.select("node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialize(named.join(clusters, "label"), "dedup-named")
-    sizes = named.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    named = materialize(named, "dedup-named")
+    held = materialize(_row_counts(named, "label"), "dedup-sizes")
+    sizes = held.join(clusters, "label").withColumnRenamed("__n", "n")
     largest = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"))
     minors = sizes.join(largest, "cluster").where("label != main").groupBy("cluster").agg(F.sum("n").alias("minor_size"))
-    named = named.join(largest, "cluster").join(minors, "cluster").withColumn("minor", F.col("label") != F.col("main"))
+    about = sizes.drop("n").join(largest, "cluster").join(minors, "cluster").withColumn("minor", F.col("label") != F.col("main"))
+    named = spread_join(named, about, ["label"], held, "node")
     full = materialize(named.join(texts, "node"), "dedup-named-texts")
     rows, columns = F.ceil(F.col("minor_size") / TEXTS).cast("int"), F.ceil(F.col("size") / TEXTS).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -256,16 +266,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: doc_id, n_shingles, component_id, kept."""
     sketched = materialize(sketch(docs, id_col, text_col), "dedup-sketch")
     able = sketched.where("n_shingles > 0 and doc_id is not null")
-    firsts = able.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    members = materialize(able.join(firsts, ["f1", "f2"]).select("doc_id", "rep", "f1", "f2", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("regs")).alias("regs")), "dedup-members")
+    firsts = materialize(able.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("__n")), "dedup-firsts")
+    members = spread_join(able, firsts.drop("__n"), ["f1", "f2"], firsts.drop("rep"), "doc_id")
+    members = materialize(members.select("doc_id", "rep", "f1", "f2", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("regs")).alias("regs")), "dedup-members")
     nodes = members.where("doc_id = rep").dropDuplicates(["f1", "f2"]).select(F.col("rep").alias("node"), "n_shingles", "regs")
     nodes = materialize(nodes, "dedup-nodes")
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {i * width + 1}, {width})")) for i in range(BANDS)])
     keyed = nodes.select("node", F.explode(keys).alias("key"))
     buckets = materialize(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "dedup-buckets")
-    shared = materialize(keyed.join(buckets, "key").select("key", "node", "leader"), "dedup-shared")
-    star = shared.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    shared = spread_join(keyed, buckets.drop("size"), ["key"], buckets.select("key", F.col("size").alias("__n")), "node")
+    shared = materialize(shared.select("key", "node", "leader"), "dedup-shared")
+    star = materialize(shared.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "dedup-star")
     pairs = materialize(likely_pairs(star, nodes, percent), "dedup-pairs")
     rows = members.select("doc_id", "rep").distinct()
     same_id = rows.join(rows.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a < rep").select("a", F.col("rep").alias("b"))
@@ -276,7 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bridges = materialize(bridge_labels(shared, labels, nodes, percent), "dedup-bridges")
     links = materialize(links.union(exact_bridges(bridges, labels, nodes, texts, percent)), "dedup-links")
     labels = components(links)
-    known = members.select("doc_id", F.col("rep").alias("node")).distinct().join(labels, "node", "left")
+    known = members.select("doc_id", F.col("rep").alias("node")).distinct()
+    known = spread_join(known, labels, ["node"], _row_counts(members.select(F.col("rep").alias("node")), "node"), "doc_id", "left")
     known = known.groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("__component"))
     out = sketched.select("doc_id", "n_shingles").join(known, "doc_id", "left")
     component = F.coalesce("__component", "doc_id")
