@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.llm import ann, language, line_dedup, lm_score, media, mix_sources, near_dedup, pack, quality, shard, words
+from glossa.llm import ann, common, language, line_dedup, lm_score, media, mix_sources, near_dedup, pack, quality, shard, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # names that the operators use inside or return, present in the input as well
@@ -278,6 +278,17 @@ def brute_lines(data):
     return sorted(out)
 
 
+def test_spread_join_equals_join(spark):
+    """A key that holds most rows, keys without a partner, and null keys."""
+    many = spark.range(900).selectExpr("id", "case when id % 9 < 7 then 1 when id % 9 = 7 then id end as k")
+    one = spark.createDataFrame([(1, "a"), (7, "b"), (16, "c"), (10_000, "d")], "k long, v string")
+    counts = many.groupBy("k").agg(F.count(F.lit(1)).alias("__n"))
+    for how in ("inner", "left"):
+        for most in (3, None):
+            got = common.spread_join(many, one, ["k"], counts, "id", how, most)
+            assert sorted(map(str, got.select("id", "k", "v").collect())) == sorted(map(str, many.join(one, "k", how).select("id", "k", "v").collect()))
+
+
 def test_line_dedup(docs, empty):
     got = line_dedup.dedup_lines(docs)
     assert set(docs.columns) <= set(got.columns)
