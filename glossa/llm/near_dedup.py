@@ -170,31 +170,46 @@ class Groups:
         return new
 
 
-def _tiled(members: DataFrame, size: str, most: int) -> DataFrame:
-    """Deal the members of each group into parts of about `most`, and each to the pairs of parts that it belongs to."""
-    parts = F.ceil(F.col(size) / most).cast("int")
-    part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    members = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return members.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+def _deal(n: Column) -> Column:
+    """The one of n parts that a vertex belongs to."""
+    return F.pmod(F.xxhash64("node"), n).cast("int")
 
 
-def bridge_labels(shared: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): labels of different components that some bucket's registers may link, as a spanning forest for each tile.
+def _each(n: Column) -> Column:
+    """A row for each of n parts."""
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
 
-    A bucket's leader has been confirmed with all its members, so it takes no part.
+def bridge_tiles(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, row, column, is_row, label, n_shingles, regs): the rows that bridge_labels holds against each other.
+
+    A bucket's leader has been confirmed with all its members, so it takes no part. In each bucket every
+    member outside its largest component is held against all members, TILE by TILE at a time: a bucket
+    whose members are nearly all linked already costs rows in proportion to its size.
     """
     members = shared.where("node != leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x != y").select("key", "size")
-    mixed = materialize(mixed, "dedup-mixed")
-    tiles = _tiled(spread_join(members, mixed, ["key"], mixed.select("key", F.col("size").alias("__n")), "node").join(nodes, "node"), "size", TILE)
+    held = materialize(members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "dedup-held")
+    mixed = held.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("main_size"), F.sum("n").alias("size"))
+    mixed = materialize(mixed.where("size > main_size").select("key", "main", "size", (F.col("size") - F.col("main_size")).alias("minor_size")), "dedup-mixed")
+    full = spread_join(members, mixed, ["key"], mixed.select("key", F.col("size").alias("__n")), "node").join(nodes, "node")
+    rows, columns = F.ceil(F.col("minor_size") / TILE).cast("int"), F.ceil(F.col("size") / TILE).cast("int")
+    at = lambda row, column, is_row: F.struct(row.alias("row"), column.alias("column"), F.lit(is_row).alias("is_row"))
+    as_row = F.transform(F.sequence(F.lit(0), columns - 1), lambda x: at(_deal(rows), x, True))
+    as_column = F.transform(F.sequence(F.lit(0), rows - 1), lambda x: at(x, _deal(columns), False))
+    places = F.when(F.col("label") != F.col("main"), F.concat(as_row, as_column)).otherwise(as_column)
+    return full.withColumn("place", F.explode(places)).select("key", "place.*", "label", "n_shingles", "regs")
+
+
+def bridge_labels(shared: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): labels of different components that some bucket's registers may link, as a spanning forest for each tile."""
+    tiles = bridge_tiles(shared, labels, nodes)
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = pdf.low.iloc[0], pdf.high.iloc[0]
+        is_row, label = pdf.is_row.to_numpy(bool), pdf.label.to_numpy()
         regs, size = _matrix(pdf.regs), pdf.n_shingles.to_numpy(float)
-        label, part = pdf.label.to_numpy(), pdf.part.to_numpy()
         groups, found = Groups(label), []
-        columns = np.flatnonzero(part == high)
-        for i in np.flatnonzero(part == low):
+        columns = np.flatnonzero(~is_row)
+        for i in np.flatnonzero(is_row):
             js = columns[(groups.at[columns] != groups.at[i]) & (100 * np.minimum(size[columns], size[i]) >= percent * np.maximum(size[columns], size[i]))]
             if len(js):
                 js = js[(regs[i] == regs[js]).sum(axis=1) >= (percent / 100 - MARGIN) * M]  # fewer are as unlikely as an estimate that low
@@ -205,8 +220,7 @@ def bridge_labels(shared: DataFrame, labels: DataFrame, nodes: DataFrame, percen
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     spread = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = tiles.select("key", "low", "high", "part", "label", "n_shingles", "regs").repartition(spread, "key", "low", "high")
-    return tiles.groupBy("key", "low", "high").applyInPandas(tile, "a long, b long").distinct()
+    return tiles.repartition(spread, "key", "row", "column").groupBy("key", "row", "column").applyInPandas(tile, "a long, b long").distinct()
 
 
 def exact_bridges(bridges: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -226,10 +240,8 @@ def exact_bridges(bridges: DataFrame, labels: DataFrame, nodes: DataFrame, texts
     named = spread_join(named, about, ["label"], held, "node")
     full = materialize(named.join(texts, "node"), "dedup-named-texts")
     rows, columns = F.ceil(F.col("minor_size") / TEXTS).cast("int"), F.ceil(F.col("size") / TEXTS).cast("int")
-    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = full.where("minor").withColumn("row", deal(rows)).withColumn("column", each(columns)).withColumn("is_row", F.lit(True))
-    right = full.withColumn("column", deal(columns)).withColumn("row", each(rows)).withColumn("is_row", F.lit(False))
+    left = full.where("minor").withColumn("row", _deal(rows)).withColumn("column", _each(columns)).withColumn("is_row", F.lit(True))
+    right = full.withColumn("column", _deal(columns)).withColumn("row", _each(rows)).withColumn("is_row", F.lit(False))
     tiles = left.unionByName(right).select("cluster", "row", "column", "is_row", "node", "label", "text")
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -113,6 +113,18 @@ def test_near_dedup_chains_need_tiles(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == brute_components(data)
 
 
+def test_bucket_linked_but_for_two_costs_rows_in_proportion(spark):
+    n = 3 * near_dedup.TILE
+    regs = bytes(2 * near_dedup.M)
+    nodes = spark.createDataFrame([(i, 9, bytearray(regs)) for i in range(n)], "node long, n_shingles long, regs binary")
+    shared = nodes.select(F.lit(7).cast("long").alias("key"), "node", F.lit(0).cast("long").alias("leader"))
+    labels = nodes.where(f"node < {n - 2}").select("node", F.lit(0).cast("long").alias("label"))
+    tiles = near_dedup.bridge_tiles(shared, labels, nodes)
+    assert tiles.where("not is_row").count() == n - 1  # each member but the leader once
+    assert tiles.where("is_row").count() == 2 * 3  # the two others against three columns
+    assert near_dedup.bridge_labels(shared, labels, nodes, 75).distinct().count() >= 2  # equal registers: both may be linked
+
+
 def test_near_dedup_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
