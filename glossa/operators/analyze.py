@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import metrics
 from glossa.operators.model import LinearModel, first_max, logits
+from glossa.operators.sample import hash_order, numbered
 
 
 def grid(total: int, steps: int) -> list[int]:
@@ -95,3 +96,21 @@ def feature_importance(df: DataFrame, model: LinearModel, active_col: str = "act
     n = F.coalesce("occurrences", F.lit(0).cast("long"))
     out = table.join(hits, "idx", "left").crossJoin(F.broadcast(total))  # one row
     return out.select("idx", "feature", "mean_abs", "std_abs", (n / F.greatest("total", F.lit(1))).alias("mean_value"), n.alias("occurrences")).orderBy(F.desc("mean_abs"), "idx")
+
+
+def permutation_importance(df: DataFrame, model: LinearModel, label_col: str, id_col: str, active_col: str = "active", seed: str = "42") -> DataFrame:
+    """(idx, feature, F1, drop) by feature: macro F1 after its values moved one row on in a hash order, and what that loses.
+
+    Every row is scored once for each feature; idx -1 in between is the model as it is. Ids must be distinct.
+    """
+    rows = numbered(df.select(id_col, label_col, active_col), [], hash_order(id_col, seed), [id_col])
+    before = rows.select((F.col("__i") % F.col("__n") + 1).alias("__i"), F.col(active_col).alias("__other"))
+    moved = rows.join(before, "__i").withColumn("idx", F.explode(F.sequence(F.lit(-1), F.lit(len(model.features) - 1))))
+    without = F.array_remove(active_col, F.col("idx"))
+    values = F.when(F.array_contains("__other", F.col("idx")), F.concat(without, F.array("idx"))).otherwise(without)
+    preds = moved.select("idx", F.col(label_col).alias("label"), _names(model, first_max(logits(model, values))).alias("pred"))
+    f1 = metrics.macro_f1(preds, "label", "pred", ("idx",))
+    whole = f1.where("idx = -1").select(F.col("macro_f1").alias("__whole"))
+    table = df.sparkSession.createDataFrame(list(enumerate(model.features)), "idx int, feature string")
+    out = table.join(f1, "idx").crossJoin(F.broadcast(whole))  # one row
+    return out.select("idx", "feature", F.col("macro_f1").alias("F1"), (F.col("__whole") - F.col("macro_f1")).alias("drop"))

@@ -389,6 +389,18 @@ def f1_curve_fixed(spark, sf_dir):
     return analyze.f1_curve(rows, MODEL, "Language", decimals=None, ns=_NS).select("N", F.round("F1", 9).alias("F1"))
 
 
+@query(f"""WITH {_SCORES_SQL}, ord AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || '42'), doc_id) AS i, count(*) OVER () AS n FROM documents),
+prev AS (SELECT a.doc_id, b.doc_id AS other FROM ord a JOIN ord b ON a.i = b.i % b.n + 1), ks AS (SELECT unnest(range(-1, {len(TOKENS)})) AS k),
+sw AS (SELECT k, doc_id, idx FROM ks JOIN act ON idx <> k UNION ALL SELECT act.idx, prev.doc_id, act.idx FROM prev JOIN act ON act.doc_id = prev.other),
+sn AS (SELECT ks.k, d.doc_id, d.lang, b.c, b.name, b.b + coalesce(sum(w.w), 0) AS s FROM ks CROSS JOIN documents d CROSS JOIN b LEFT JOIN sw ON sw.k = ks.k AND sw.doc_id = d.doc_id LEFT JOIN w ON w.idx = sw.idx AND w.c = b.c GROUP BY ks.k, d.doc_id, d.lang, b.c, b.name, b.b),
+bn AS (SELECT k, doc_id, any_value(lang) AS lang, min_by(name, (-s, c)) AS pred FROM sn GROUP BY k, doc_id), f AS (SELECT k, avg(f1) AS f1 FROM {_F1.format(by="k,", src="bn")} GROUP BY k)
+SELECT k::INT AS idx, any_value(token) AS feature, round(any_value(f1), 9) AS "F1", round((SELECT f1 FROM f WHERE k = -1) - any_value(f1), 9) AS "drop" FROM f JOIN v ON v.idx = f.k GROUP BY k""")
+def permutation_importance(spark, sf_dir):
+    rows = features.with_features(files(spark, sf_dir), TOKENS)
+    moved = analyze.permutation_importance(rows, MODEL, "Language", "FileId")
+    return moved.select("idx", "feature", F.round("F1", 9).alias("F1"), F.round("drop", 9).alias("drop"))
+
+
 @query()
 def rounding_curve_fixed(spark, sf_dir):
     rows = features.with_features(files(spark, sf_dir), TOKENS)
