@@ -259,9 +259,8 @@ def exact_bridges(bridges: DataFrame, labels: DataFrame, nodes: DataFrame, texts
             for i in np.flatnonzero(is_row):
                 if not len(columns) or not (groups.at[columns] != groups.at[i]).any():
                     continue
-                hits = np.searchsorted(universe, sets[i])
-                hits = hits[(hits < len(universe))]
-                hits = hits[np.isin(universe[hits], sets[i], assume_unique=True)]
+                hits = np.minimum(np.searchsorted(universe, sets[i]), len(universe) - 1)
+                hits = hits[universe[hits] == sets[i]]
                 mark[hits] = 1
                 both = np.add.reduceat(mark[at], starts)
                 mark[hits] = 0

@@ -113,6 +113,20 @@ def test_near_dedup_chains_need_tiles(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == brute_components(data)
 
 
+def test_exact_bridges_over_several_tiles(spark, monkeypatch):
+    """Texts just under the threshold (1,200 of 1,602 shingles shared) in a cluster of many tiles, and two that are over it."""
+    monkeypatch.setattr(near_dedup, "TEXTS", 4)
+    shared = [f"s{j}" for j in range(1204)]
+    data = [(i, " ".join(shared + [f"d{i}x{j}" for j in range(201)])) for i in range(1, 13)]
+    data += [(20, data[2][1] + " more"), (21, data[7][1] + " and more")]
+    frame = lambda x, schema: spark.createDataFrame(x, schema)
+    nodes, texts = frame([(d,) for d, _ in data], "node long"), frame(data, "node long, text string")
+    bridges = frame([(1, d) for d, _ in data[1:]], "a long, b long")
+    links = near_dedup.exact_bridges(bridges, frame([], "node long, label long"), nodes, texts, 75)
+    want = brute_components(data)
+    assert sorted(map(tuple, links.collect())) == sorted((v, k) for k, v in want.items() if k != v) == [(3, 20), (8, 21)]
+
+
 def test_bucket_linked_but_for_two_costs_rows_in_proportion(spark):
     n = 3 * near_dedup.TILE
     regs = bytes(2 * near_dedup.M)
