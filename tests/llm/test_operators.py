@@ -186,6 +186,22 @@ def test_pack_special_text(spark):
     assert got.ids == [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_pack_long_white_space(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" + x * 2_000_000 + "b c" for x in (" ", "\n")]
+    want = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, x in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.ids_crc32 for r in pack.token_pieces(df, capacity=4_000_000).collect()} == want
+    monkeypatch.setattr(pack, "LONG_RUN", 1 << 30)  # what panics without the bound on runs goes the same way
+    pack._encoder.cache_clear()
+    assert pack._encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")(texts[0]) == t.encode(texts[0], add_special_tokens=False).ids
+    pack._encoder.cache_clear()
+
+
 def test_fullest_bin_is_exact():
     rng = random.Random(1)
     for _ in range(200):
