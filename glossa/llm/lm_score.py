@@ -1,9 +1,13 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The model is a bigram model with Dirichlet smoothing towards add-one unigrams:
-P(w | h) = (c(h, w) + MU * P1(w)) / (c(h) + MU), P1(w) = (c(w) + 1) / (N + V + 1).
-The trie runs backwards: words, and under each word the words before it. Words and contexts are
-Elias-Fano sequences; the contexts of a word are numbers in a range that starts where the last word's
+The model is a trigram model with Dirichlet smoothing towards bigrams, and those towards add-one unigrams:
+P1(w) = (c(w) + 1) / (N + V + 1), P2(w | h) = (c(h, w) + MU * P1(w)) / (c(h) + MU),
+P3(w | g, h) = (c(g, h, w) + m * P2(w | h)) / (c(g, h) + m), m = THIRD * (c(h) + MU).
+As m is in proportion to the denominator of P2, the numerator of P3 is c(g, h, w) + THIRD * (c(h, w) + MU * P1(w)),
+all of it counts of w's own shard, and its denominator c(g, h) + THIRD * (c(h) + MU) is one of h's own shard.
+Without a third weight the model is P2.
+The trie runs backwards: words, under each word the words before it, and under each of those the words
+before that. Words and contexts are Elias-Fano sequences; the contexts of a word are numbers in a range that starts where the last word's
 range ended, so one monotone sequence holds all of them and a lookup is a successor search relative to
 the range. Ranges are monotone pointers, again Elias-Fano; smoothed values are 16-bit steps of
 1 / STEPS in log10. Levels lie in one memory-mapped file.
@@ -34,12 +38,13 @@ from glossa.llm.common import crc_mod, crc_mod_col, materialize
 from glossa.llm.words import hash_words, mix, text_batches
 
 MU = 1000.0
+THIRD = 0.002  # of 0.0005 to 0.5 the weight with the highest held-out score at sf0.1
 STEPS = 4096
 HOT = 1000
 SHARD_BYTES = 12 << 20
 PARTS = 4
 BLOCK_TOKENS, BLOCK_DOCS = 500_000, 60_000
-END, START = 1, 2  # hashes of the end token and of the context before the first word; words have none below 4
+END, START, BEFORE = 1, 2, 3  # hashes of the end token, of the context before the first word and of the one before that; words have none below 4
 
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -118,19 +123,34 @@ class EliasFano:
         return np.where(hit, lo, -1)
 
 
+def _level(owner: np.ndarray, context: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges and bases of n owners, and the monotone sequence of their contexts' numbers, which are sorted by (owner, context)."""
+    counts = np.bincount(owner, minlength=n)
+    ends = np.cumsum(counts)
+    highest = np.zeros(n, np.int64)
+    some = counts > 0
+    highest[some] = context[ends[some] - 1] + 1
+    base = np.cumsum(highest) - highest
+    return np.concatenate([[0], ends]), base, base[owner] + context if len(owner) else np.empty(0, np.int64)
+
+
 class Trie:
     """The words of a shard and their contexts in training, in one memory-mapped file; use it in a with statement."""
 
-    def __init__(self, words: np.ndarray, backoff: np.ndarray, owner: np.ndarray, contexts: np.ndarray, values: np.ndarray) -> None:
-        """words: sorted; backoff: by word; owner, contexts, values: of each pair, sorted by (owner, context)."""
-        self.names, context = np.unique(contexts, return_inverse=True)
-        counts = np.bincount(owner, minlength=len(words))
-        ends = np.cumsum(counts)
-        highest = np.zeros(len(words), np.int64)
-        some = counts > 0
-        highest[some] = context[ends[some] - 1] + 1
-        base = np.cumsum(highest) - highest
-        levels = {"words": words, "ranges": np.concatenate([[0], ends]), "bases": base, "names": self.names, "contexts": base[owner] + context if len(owner) else np.empty(0, np.int64)}
+    def __init__(self, words: np.ndarray, backoff: np.ndarray, owner: np.ndarray, contexts: np.ndarray, values: np.ndarray, third: tuple[np.ndarray, ...] | None = None) -> None:
+        """words: sorted; backoff: by word; owner, contexts, values: of each pair, sorted by (owner, context).
+
+        third: the pair, the word before it and the value of each triple, sorted by (pair, word before), and the backoff of each pair.
+        """
+        names, context = np.unique(contexts, return_inverse=True)
+        ranges, bases, numbers = _level(owner, context, len(words))
+        levels = {"words": words, "ranges": ranges, "bases": bases, "names": names, "contexts": numbers}
+        flat = {"backoff": backoff, "values": values}
+        if third:
+            names, context = np.unique(third[1], return_inverse=True)
+            ranges, bases, numbers = _level(third[0], context, len(owner))
+            levels |= {"ranges3": ranges, "bases3": bases, "names3": names, "contexts3": numbers}
+            flat |= {"values3": third[2], "backoff2": third[3]}
         handle, self.path = tempfile.mkstemp(prefix="trie-")
         places, self.sequences = {}, {}
         with os.fdopen(handle, "wb") as f:
@@ -143,34 +163,38 @@ class Trie:
             for name, x in levels.items():
                 parts, n, low_bits = EliasFano.encode(np.asarray(x, np.int64))
                 places[name] = {k: put(v) for k, v in parts.items()}, n, low_bits
-            flat = {"backoff": put(backoff.astype(np.uint16)), "values": put(values.astype(np.uint16))}
+            flat = {k: put(v.astype(np.uint16)) for k, v in flat.items()}
             f.write(bytes(8))
         self.file = np.memmap(self.path, np.uint8, "r")
         view = lambda p: self.file[p[0] : p[0] + p[2] * p[1].itemsize].view(p[1])
         for name, (parts, n, low_bits) in places.items():
             self.sequences[name] = EliasFano({k: view(v) for k, v in parts.items()}, n, low_bits)
-        self.backoff, self.values = view(flat["backoff"]), view(flat["values"])
+        self.steps = {k: view(v) for k, v in flat.items()}
 
     def __enter__(self) -> Trie:
         return self
 
     def __exit__(self, *_) -> None:
-        del self.sequences, self.file, self.backoff, self.values
+        del self.sequences, self.file, self.steps
         os.unlink(self.path)
 
-    def lookup(self, words: np.ndarray, owner: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Stored steps of each pair (words[owner], context), -1 where it isn't there; every word and context is found once."""
-        s = self.sequences
-        word = s["words"].find(words)
-        known = np.maximum(word, 0)
-        some = bool(s["words"].n)
-        base, first, end = (s[k].access(known + i) if some else known for k, i in (("bases", 0), ("ranges", 0), ("ranges", 1)))
+    def pairs(self, words: np.ndarray, owner: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Number of each pair (words[owner], context), -1 where it isn't there; every word and context is found once."""
+        return self._find("", self.sequences["words"].find(words), owner, contexts)
+
+    def triples(self, pairs: np.ndarray, owner: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Number of each triple (pair number pairs[owner], word before), -1 where it isn't there."""
+        return self._find("3", pairs, owner, before)
+
+    def _find(self, level: str, node: np.ndarray, owner: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        ranges, bases, names, numbers = (self.sequences[k + level] for k in ("ranges", "bases", "names", "contexts"))
+        known = np.maximum(node, 0)
+        base, first, end = (s.access(known + i) if bases.n else known for s, i in ((bases, 0), (ranges, 0), (ranges, 1)))
         distinct, at = np.unique(contexts, return_inverse=True)
-        name = s["names"].find(distinct)[at]
-        out, there = np.full(len(owner), -1, np.int64), np.flatnonzero((word[owner] >= 0) & (name >= 0))
+        name = names.find(distinct)[at]
+        out, there = np.full(len(owner), -1, np.int64), np.flatnonzero((node[owner] >= 0) & (name >= 0))
         o = owner[there]
-        at = s["contexts"].find(base[o] + name[there], first[o], end[o])
-        out[there[at >= 0]] = self.values[at[at >= 0]]
+        out[there] = numbers.find(base[o] + name[there], first[o], end[o])
         return out
 
 
@@ -240,11 +264,14 @@ def vocabulary(docs: DataFrame, shards: int, id_col: str, text_col: str, folds:
     return ends, tokens, distinct, hot
 
 
-_PACKET = "shard int, block long, ids binary, trains binary, words binary, word_pairs binary, contexts binary, pair_docs binary, docs binary, times binary"
+_PACKET = "shard int, block long, ids binary, trains binary, words binary, word_pairs binary, contexts binary, pair_triples binary, before binary, before_high binary, triple_docs binary, docs binary, times binary"
+
 
+def packets(docs: DataFrame, shards: int, hot: list[int], id_col: str, text_col: str, folds: int, held: int, third: bool) -> DataFrame:
+    """Each block of documents as one row for each shard: its n-grams there, with the documents that hold them.
 
-def packets(docs: DataFrame, shards: int, hot: list[int], id_col: str, text_col: str, folds: int, held: int) -> DataFrame:
-    """Each block of documents as one row for each shard: its n-grams there, with the documents that hold them."""
+    A word before a pair is told by 48 bits of its hash, which have to differ within that pair only; without `third` it is 0.
+    """
     hot_words = np.array(sorted(hot), np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,13 +286,22 @@ def packets(docs: DataFrame, shards: int, hot: list[int], id_col: str, text_col:
             spread = np.isin(names, hot_words)[at]
             shard[spread] = _spread(w[spread] ^ (h[spread] << 1), shards)
             key = (shard.astype(np.int64) * len(names) + at) * len(context_names) + context_at
-            order = np.lexsort((d, key)) if len(key) else np.empty(0, np.int64)
-            key, d = key[order], d[order]
-            entry = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (d[1:] != d[:-1])]))
+            g = np.zeros(len(w), np.int64)
+            if third:
+                g[1:] = h[:-1]
+                g[h == START] = BEFORE
+                g = (mix(g.astype(np.uint64)) >> np.uint64(16)).astype(np.int64)
+            order = np.lexsort((d, g, key)) if len(key) else np.empty(0, np.int64)
+            key, g, d = key[order], g[order], d[order]
+            other = (key[1:] != key[:-1]) | (g[1:] != g[:-1])
+            entry = np.flatnonzero(np.concatenate([[True], other | (d[1:] != d[:-1])]))
             times = np.diff(entry, append=len(key)).astype(np.uint32)
-            key, d = key[entry], d[entry].astype(np.uint16)
+            triple = np.flatnonzero(np.concatenate([[True], other])[entry])
+            key, g, d = key[entry], g[entry][triple], d[entry].astype(np.uint16)
+            triple_docs = np.diff(triple, append=len(key)).astype(np.uint16)  # of at most BLOCK_DOCS
+            key = key[triple]
             pair = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            pair_docs = np.diff(pair, append=len(key)).astype(np.uint32)
+            pair_triples = np.diff(pair, append=len(key)).astype(np.uint32)
             pair_key = key[pair]
             of_word = pair_key // len(context_names)
             word = np.flatnonzero(np.concatenate([[True], of_word[1:] != of_word[:-1]]))
@@ -273,7 +309,8 @@ def packets(docs: DataFrame, shards: int, hot: list[int], id_col: str, text_col:
             word_shard = of_word[word] // len(names)
             cuts = np.searchsorted(word_shard, np.arange(shards + 1))
             pair_cuts = np.append(word, len(pair))[cuts]
-            entry_cuts = np.append(pair, len(key))[pair_cuts]
+            triple_cuts = np.append(pair, len(key))[pair_cuts]
+            entry_cuts = np.append(triple, len(d))[triple_cuts]
             word_hash, context_hash = names[of_word[word] % len(names)], context_names[pair_key % len(context_names)]
             some = np.flatnonzero(np.diff(cuts))
             trains = np.array([crc_mod(i, folds) != held for i in ids], np.uint8).tobytes()
@@ -282,7 +319,10 @@ def packets(docs: DataFrame, shards: int, hot: list[int], id_col: str, text_col:
             columns = [
                 pa.array(some, pa.int32()), pa.array(np.full(len(some), block), pa.int64()),
                 pa.array([_ids_to_bytes(id_bytes if k == 0 else none) for k in range(len(some))], pa.binary()), pa.array([trains] * len(some), pa.binary()),
-                *(pa.array(of(x, c), pa.binary()) for x, c in ((word_hash, cuts), (word_pairs, cuts), (context_hash, pair_cuts), (pair_docs, pair_cuts), (d, entry_cuts), (times, entry_cuts))),
+                *(pa.array(of(x, c), pa.binary()) for x, c in (
+                    (word_hash, cuts), (word_pairs, cuts), (context_hash, pair_cuts), (pair_triples, pair_cuts), (g.astype(np.uint32), triple_cuts), ((g >> 32).astype(np.uint16), triple_cuts),
+                    (triple_docs, triple_cuts), (d, entry_cuts), (times, entry_cuts),
+                )),
             ]
             return pa.record_batch(columns, names=[c.split()[0] for c in _PACKET.split(", ")])
 
@@ -308,7 +348,7 @@ def _ids_to_bytes(ids: pa.Array) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def shard_scorer(n_docs: int, tokens: int, distinct: int, hot: dict[int, int], mu: float):
+def shard_scorer(n_docs: int, tokens: int, distinct: int, hot: dict[int, int], mu: float, third: float | None):
     """A function from the packets of a shard to the shard's share of each document's sums."""
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -316,7 +356,8 @@ def shard_scorer(n_docs: int, tokens: int, distinct: int, hot: dict[int, int], m
         trains = [np.frombuffer(x, np.uint8) for x in pdf.trains]
         starts = np.concatenate([[0], np.cumsum([len(t) for t in trains])])
         packet = np.repeat(np.arange(len(pdf)), [len(x) // 2 for x in pdf.docs]).astype(np.int32)
-        local, times, pair_docs = read("docs", np.uint16), read("times", np.uint32), read("pair_docs", np.uint32)
+        local, times, triple_docs, pair_triples = read("docs", np.uint16), read("times", np.uint32), read("triple_docs", np.uint16), read("pair_triples", np.uint32)
+        before = read("before_high", np.uint16).astype(np.int64) << 32 | read("before", np.uint32)
         words, word_pairs, contexts = read("words", np.int64), read("word_pairs", np.uint32), read("contexts", np.int64)
         part_of_pair = np.repeat((mix(words.astype(np.uint64)) >> np.uint64(40)) % np.uint64(PARTS), word_pairs).astype(np.uint8)
         sums = {"score": np.zeros(starts[-1], np.int64), "base": np.zeros(starts[-1]), "known": np.zeros(starts[-1], np.uint32), "n": np.zeros(starts[-1], np.uint32)}
@@ -324,21 +365,23 @@ def shard_scorer(n_docs: int, tokens: int, distinct: int, hot: dict[int, int], m
             pairs = np.flatnonzero(part_of_pair == part)
             if not len(pairs):
                 continue
-            entries = np.flatnonzero(np.repeat(part_of_pair == part, pair_docs))
+            triples = np.flatnonzero(np.repeat(part_of_pair == part, pair_triples))
+            entries = np.flatnonzero(np.repeat(np.repeat(part_of_pair == part, pair_triples), triple_docs))
             doc = local[entries] + starts[packet[entries]]
             taught = np.concatenate(trains)[doc] > 0
-            _score_part(sums, np.repeat(words, word_pairs)[pairs], contexts[pairs], np.repeat(np.arange(len(pairs)), pair_docs[pairs]), doc, times[entries], taught)
+            _score_part(sums, np.repeat(words, word_pairs)[pairs], contexts[pairs], np.repeat(np.arange(len(pairs)), pair_triples[pairs]), before[triples], np.repeat(np.arange(len(triples)), triple_docs[triples]), doc, times[entries], taught)
         cut = lambda x: [x[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
         return pd.DataFrame({"block": pdf.block, "shard": pdf["shard"], "ids": pdf.ids, "trains": pdf.trains.where(pdf.ids.map(len) > _NO_IDS, b""), **{k: cut(v) for k, v in sums.items()}})
 
-    def _score_part(sums: dict, word: np.ndarray, context: np.ndarray, pair_of_entry: np.ndarray, doc: np.ndarray, times: np.ndarray, taught: np.ndarray) -> None:
+    def _score_part(sums: dict, word: np.ndarray, context: np.ndarray, pair_of_triple: np.ndarray, before: np.ndarray, triple_of_entry: np.ndarray, doc: np.ndarray, times: np.ndarray, taught: np.ndarray) -> None:
         order = np.lexsort((context, word))
         w, h = word[order], context[order]
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])])
         number = np.empty(len(order), np.int32)
         number[order] = np.cumsum(new) - 1
         w, h = w[new], h[new]
-        entry = number[pair_of_entry]
+        pair_of_triple = number[pair_of_triple]
+        entry = pair_of_triple[triple_of_entry]
         pair_count = np.bincount(entry, np.where(taught, times, 0), len(w)).astype(np.int64)
         words, at = np.unique(w, return_inverse=True)
         count = np.bincount(at, pair_count, len(words)).astype(np.int64)
@@ -353,14 +396,38 @@ def shard_scorer(n_docs: int, tokens: int, distinct: int, hot: dict[int, int], m
         known = np.flatnonzero(count)
         place = np.full(len(words), -1)
         place[known] = np.arange(len(known))
-        with Trie(words[known], _steps(np.log10(count[known] + mu)), place[at[seen]], h[seen], value) as trie:
-            found = trie.lookup(words, at, h)
+        more = None
+        if third:
+            order = np.lexsort((before, pair_of_triple))
+            p, g = pair_of_triple[order], before[order]
+            new = np.concatenate([[True], (p[1:] != p[:-1]) | (g[1:] != g[:-1])])
+            number = np.empty(len(order), np.int32)
+            number[order] = np.cumsum(new) - 1
+            p, g, triple = p[new], g[new], number[triple_of_entry]
+            triple_count = np.bincount(triple, np.where(taught, times, 0), len(p)).astype(np.int64)
+            seen3 = np.flatnonzero(triple_count)
+            number_of_pair = np.cumsum(pair_count > 0) - 1
+            value3 = _steps(np.log10(triple_count[seen3] + third * (pair_count[p[seen3]] + mu * 10.0 ** unigram[at[p[seen3]]])))
+            more = number_of_pair[p[seen3]], g[seen3], value3, _steps(np.log10(pair_count[seen] + third * (count[at[seen]] + mu)))
+        with Trie(words[known], _steps(np.log10(count[known] + mu)), place[at[seen]], h[seen], value, more) as trie:
+            found = trie.pairs(words, at, h)
+            there = found >= 0
             after = np.full(len(words), _steps(np.log10(mu)))
-            after[known] = trie.backoff
-        after[words == END] = 0  # nothing follows the end
-        gained = np.where(found >= 0, found, low[at]) - after[at]
+            after[known] = trie.steps["backoff"]
+            numerator, after = low[at], after[at]
+            numerator[there] = trie.steps["values"][found[there]]
+            if third:
+                less = _steps(np.log10(third))
+                after += less
+                after[there] = trie.steps["backoff2"][found[there]]
+                found3 = trie.triples(found, p, g)
+                there = found3 >= 0
+                numerator = numerator[p] + less
+                numerator[there] = trie.steps["values3"][found3[there]]
+        after[words[at] == END] = 0  # nothing follows the end
+        gained = numerator[triple] - after[entry] if third else (numerator - after)[entry]
         total, word_of_entry = len(sums["n"]), at[entry]
-        sums["score"] += np.bincount(doc, gained[entry] * times.astype(np.int64), total).astype(np.int64)
+        sums["score"] += np.bincount(doc, gained * times.astype(np.int64), total).astype(np.int64)
         sums["base"] += np.bincount(doc, unigram[word_of_entry] * times, total)
         sums["known"] += np.bincount(doc, np.where(count[word_of_entry] > 0, times, 0), total).astype(np.uint32)
         sums["n"] += np.bincount(doc, times, total).astype(np.uint32)
@@ -371,15 +438,15 @@ def shard_scorer(n_docs: int, tokens: int, distinct: int, hot: dict[int, int], m
 _NO_IDS = len(_ids_to_bytes(pa.array([], pa.int64())))
 
 
-def score_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, mu: float = MU) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def score_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, mu: float = MU, third: float | None = None) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10); of trigrams with the weight `third`, else of bigrams."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     shards = max(12, -(-size // SHARD_BYTES))
     n_docs, tokens, distinct, hot = vocabulary(docs, shards, id_col, text_col, folds, held)
-    sums = packets(docs, shards, list(hot), id_col, text_col, folds, held).groupBy("shard").applyInPandas(
-        shard_scorer(n_docs, tokens, distinct, hot, mu), "block long, shard int, ids binary, trains binary, score binary, base binary, known binary, n binary"
+    sums = packets(docs, shards, list(hot), id_col, text_col, folds, held, bool(third)).groupBy("shard").applyInPandas(
+        shard_scorer(n_docs, tokens, distinct, hot, mu, third), "block long, shard int, ids binary, trains binary, score binary, base binary, known binary, n binary"
     )
-    first = int(_steps(np.log10(np.array([n_docs + mu])))[0])
+    first = int(_steps(np.log10(np.array([n_docs + third * (n_docs + mu) if third else n_docs + mu])))[0])
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")

@@ -45,7 +45,7 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_table(read_table(spark, sf_dir, "documents"))
+    return lm_score.score_table(read_table(spark, sf_dir, "documents"), third=lm_score.THIRD)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

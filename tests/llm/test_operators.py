@@ -394,6 +394,32 @@ def test_lm_score(docs, empty, monkeypatch):
     assert lm_score.score_table(empty).count() == 0
 
 
+def test_lm_score_of_two_context_words(docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 500)
+    mu, third = 50.0, 0.02
+    got = lm_score.score_table(docs, mu=mu, third=third).toPandas().drop_duplicates("doc_id").set_index("doc_id")
+    data = [(d, [-1, 0, *tokens(t), None]) for d, t, *_ in rows()]
+    counts = Counter(tuple(w[i - n + 1 : i + 1]) for d, w in data if zlib.crc32(str(d).encode()) % 7 != 2 for n in (1, 2, 3) for i in range(2, len(w)))
+    before = Counter(tuple(w[i - n : i]) for d, w in data if zlib.crc32(str(d).encode()) % 7 != 2 for n in (1, 2) for i in range(2, len(w)))
+    total, distinct = sum(n for k, n in counts.items() if len(k) == 1), sum(len(k) == 1 for k in counts)
+    for d, w in data:
+        score = 0.0
+        for g, h, x in zip(w, w[1:], w[2:], strict=False):
+            p1 = (counts[(x,)] + 1) / (total + distinct + 1)
+            p2 = (counts[h, x] + mu * p1) / (before[(h,)] + mu)
+            m = third * (before[(h,)] + mu)
+            score += np.log10((counts[g, h, x] + m * p2) / (before[g, h] + m))
+        assert abs(got.loc[d].score - score) <= 2 * (len(w) - 1) / lm_score.STEPS
+
+
+def test_lm_query_scores_by_trigrams(spark):
+    from glossa.llm.queries import op9_lm_score
+
+    args = spark, "/root/testdata/sf0.001"
+    got, pairs = op9_lm_score(*args).toPandas(), lm_score.score_table(common.read_table(*args, "documents")).toPandas()
+    assert got.score.sum() > pairs.score.sum() and (got.sort_values("doc_id").base_score.to_numpy() == pytest.approx(pairs.sort_values("doc_id").base_score.to_numpy()))
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 5), (10, 2**62), (1000, 3000), (5000, 2**61)):
