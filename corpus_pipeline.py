@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents go that have no letter, or are less similar to every language than the labelled texts of their size are to theirs."""
     return keep_known_languages(docs.select(*COLUMNS))
 
 

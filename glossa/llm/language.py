@@ -27,6 +27,8 @@ DIM = 1024
 CACHE = 32_768  # trigram vectors that a worker keeps
 BLOCK = 64  # documents scored together
 UNKNOWN = "und"
+#: A text is no language's if its score is under SLACK times the least of the rows of its size that teach, where those are FEWEST at least.
+SLACK, FEWEST = 0.8, 100
 
 
 @lru_cache(maxsize=1)
@@ -120,8 +122,8 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, teaches: C
     return prototypes
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score), or with `keep` those columns of docs and lang_pred, score.
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: str | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score), or with `keep` those columns of docs and lang_pred, score; with `size` also a column of that name, the number of trigrams.
 
     The score is the cosine, at least 0, of what the document and its language have beyond the mean of the prototypes.
     """
@@ -133,12 +135,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     own = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     shared = shared.astype(np.float32)
     columns = keep if keep is not None else [id_col]
-    names = [*(keep if keep is not None else ["doc_id"]), "lang_pred", "score"]
+    names = [*(keep if keep is not None else ["doc_id"]), "lang_pred", "score", *([size] if size else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space()
         for batch, texts in text_batches(batches, len(columns)):
-            predicted, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            predicted, score, sizes = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for first in range(0, len(texts) if langs else 0, BLOCK):
                 grams = [trigrams(t.decode()) for t in texts[first : first + BLOCK]]
                 codes, at = np.unique(np.concatenate([c for c, _ in grams]), return_inverse=True)
@@ -151,14 +153,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
                 bundles -= np.outer(bundles @ shared, shared)
                 cosine = bundles @ own.T / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-9)
                 best = cosine.argmax(axis=1)
-                for i, (c, _) in enumerate(grams):
+                for i, (c, n) in enumerate(grams):
                     if len(c):
+                        sizes[first + i] = n.sum()
                         predicted[first + i] = langs[best[i]]
                         score[first + i] = min(1.0, max(0.0, round(float(cosine[i, best[i]]), 6)))
-            yield pa.record_batch([*batch.columns[: len(columns)], pa.array(predicted, pa.string()), pa.array(score, pa.float64())], names=names)
+            yield pa.record_batch([*batch.columns[: len(columns)], pa.array(predicted, pa.string()), pa.array(score, pa.float64()), *([pa.array(sizes)] if size else [])], names=names)
 
     kept = docs.select(*columns) if keep is not None else docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema) + "lang_pred string, score double" + (f", `{size}` long" if size else "")
     source = docs.select(*[F.col(c) for c in columns], F.col(text_col).alias("__glossa_text")) if keep is not None else docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return source.mapInArrow(run, schema)
 
@@ -170,9 +173,31 @@ def language_table(docs: DataFrame, folds: int = 5) -> DataFrame:
     return predict(docs, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def _size_class(size: Column) -> Column:
+    """0 for under 4 trigrams, 1 for under 16, and so on by powers of 4."""
+    return F.floor((F.length(F.bin(size)) - 1) / 2).cast("int")
+
+
+def least_scores(taught: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> dict[int, float]:
+    """By size class, the score under which a text is not similar enough; classes with too few rows have none."""
+    size = "__glossa_size"
+    scored = predict(taught, prototypes, text_col=text_col, keep=[], size=size).where(F.col("lang_pred") != UNKNOWN)
+    least = scored.groupBy(_size_class(F.col(size)).alias("class")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    return {r["class"]: SLACK * r["least"] for r in least.collect() if r["n"] >= FEWEST}
+
+
 def keep_known_languages(docs: DataFrame, least: float = 1e-6, folds: int = 5) -> DataFrame:
-    """The rows of `docs`, all their columns, that have a language: not `und`, and not less similar to it than `least`."""
-    prototypes = learn(docs, "doc_id", "text", "lang", crc_mod_col(F.col("doc_id"), folds) != 0)
-    known = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    judged = predict(docs, prototypes, keep=known)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*known)
+    """The rows of `docs`, all their columns, that have a language: not `und`, and not less similar to it than `least` and than texts of their size are.
+
+    The bound of a size comes from the rows that teach (least_scores), so none of them goes; a size with too few of
+    them takes the bound of the next smaller size that has one.
+    """
+    teaches = crc_mod_col(F.col("doc_id"), folds) != 0
+    prototypes = learn(docs, "doc_id", "text", "lang", teaches)
+    bounds = least_scores(docs.where(teaches & F.col("lang").isNotNull()), prototypes)
+    known, size = [c for c in docs.columns if c not in ("lang_pred", "score")], "__glossa_size"
+    judged = predict(docs, prototypes, keep=known, size=size)
+    bound = F.lit(least)
+    for k in sorted(bounds):
+        bound = F.when(_size_class(F.col(size)) >= k, F.lit(max(least, bounds[k]))).otherwise(bound)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= bound)).select(*known)

@@ -305,6 +305,18 @@ def test_language(docs, empty):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {d for d, *_ in data[:300]}
 
 
+def test_language_stage_drops_noise_and_unlearned_languages(spark):
+    texts = {"en": "the cat and the dog are in the house with that man", "fr": "le chat et le chien sont dans la maison avec cet homme"}
+    other = "кот и собака живут в большом доме вместе с этим человеком и детьми"
+    rng = random.Random(4)
+    clean = [(i, " ".join(rng.choices(texts[k].split(), k=rng.randint(20, 60))), k, None, 0) for i in range(800) for k in [rng.choice(["en", "fr"])]]
+    noise = [(1000 + i, " ".join(rng.choices(other.split(), k=60)), None, None, 0) for i in range(20)]
+    noise += [(1100 + i, "今日は天気がいいですね明日は雨が降るでしょう" * (i + 4), None, None, 0) for i in range(5)]
+    noise += [(1200 + i, " ".join("".join(rng.choices("bcdfgjklmpqrvwxz", k=6)) for _ in range(60)), None, None, 0) for i in range(20)]
+    kept = language.keep_known_languages(spark.createDataFrame(clean + noise, SCHEMA).repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == [d for d, *_ in clean]
+
+
 def brute_lines(data):
     docs_of = {}
     for d, t in data:
