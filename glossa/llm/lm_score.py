@@ -10,11 +10,14 @@ The trie runs backwards: words, under each word the words before it, and under e
 before that. Words and contexts are Elias-Fano sequences; the contexts of a word are numbers in a range that starts where the last word's
 range ended, so one monotone sequence holds all of them and a lookup is a successor search relative to
 the range. Ranges are monotone pointers, again Elias-Fano; smoothed values are 16-bit steps of
-1 / STEPS in log10. Levels lie in one memory-mapped file.
+1 / STEPS in log10. Levels lie in one memory map.
 
 The trie is cut into shards by word, and both the counts and the texts' own n-grams come to the shard
-in packed blocks, so no task needs the whole model and nothing is broadcast but the words that make up
-more than 1 in HOT tokens (at most HOT of them); those are spread over the shards by their context.
+in packed blocks, so no task needs the whole model. A word with more occurrences than an eighth of a
+full shard's is spread over the shards by its context, and a pair with as many by the word before it;
+only these words and pairs, at most eight for each shard, are broadcast with their counts. A token of
+them costs a shard three bytes, so a triple is not spread. From a shard come sums for the documents that
+have a token there, so both shuffles are in proportion to the tokens at any number of shards.
 
 Nulls and odd inputs: a null text is empty and has the end token alone; a null id counts as the empty
 text in its crc32; rows that repeat an id are scored one by one; without training rows every word is
@@ -23,8 +26,7 @@ unknown; an empty table gives no rows.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,15 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import crc_mod, crc_mod_col, materialize
+from glossa.llm.common import crc_mod, crc_mod_col, materialize, release
 from glossa.llm.words import hash_words, mix, text_batches
 
 MU = 1000.0
 THIRD = 0.002  # of 0.0005 to 0.5 the weight with the highest held-out score at sf0.1
 STEPS = 4096
-HOT = 1000
 SHARD_BYTES = 12 << 20
-PARTS = 4
+HOT_BYTES = 48  # a word of six bytes, an eighth of a shard
 BLOCK_TOKENS, BLOCK_DOCS = 500_000, 60_000
 END, START, BEFORE = 1, 2, 3  # hashes of the end token, of the context before the first word and of the one before that; words have none below 4
 
@@ -135,7 +136,7 @@ def _level(owner: np.ndarray, context: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 class Trie:
-    """The words of a shard and their contexts in training, in one memory-mapped file; use it in a with statement."""
+    """The words of a shard and their contexts in training, in one memory map; use it in a with statement."""
 
     def __init__(self, words: np.ndarray, backoff: np.ndarray, owner: np.ndarray, contexts: np.ndarray, values: np.ndarray, third: tuple[np.ndarray, ...] | None = None) -> None:
         """words: sorted; backoff: by word; owner, contexts, values: of each pair, sorted by (owner, context).
@@ -151,32 +152,26 @@ class Trie:
             ranges, bases, numbers = _level(third[0], context, len(owner))
             levels |= {"ranges3": ranges, "bases3": bases, "names3": names, "contexts3": numbers}
             flat |= {"values3": third[2], "backoff2": third[3]}
-        handle, self.path = tempfile.mkstemp(prefix="trie-")
-        places, self.sequences = {}, {}
-        with os.fdopen(handle, "wb") as f:
-            def put(a: np.ndarray) -> tuple:
-                f.write(bytes(-f.tell() % 8))
-                at = f.tell()
-                f.write(a.tobytes())
-                return at, a.dtype, len(a)
-
-            for name, x in levels.items():
-                parts, n, low_bits = EliasFano.encode(np.asarray(x, np.int64))
-                places[name] = {k: put(v) for k, v in parts.items()}, n, low_bits
-            flat = {k: put(v.astype(np.uint16)) for k, v in flat.items()}
-            f.write(bytes(8))
-        self.file = np.memmap(self.path, np.uint8, "r")
-        view = lambda p: self.file[p[0] : p[0] + p[2] * p[1].itemsize].view(p[1])
-        for name, (parts, n, low_bits) in places.items():
-            self.sequences[name] = EliasFano({k: view(v) for k, v in parts.items()}, n, low_bits)
-        self.steps = {k: view(v) for k, v in flat.items()}
+        parts, sizes = {}, {}
+        for name, x in levels.items():
+            arrays, n, low_bits = EliasFano.encode(np.asarray(x, np.int64))
+            sizes[name] = n, low_bits
+            parts |= {(name, k): v for k, v in arrays.items()}
+        parts |= {("", k): v.astype(np.uint16) for k, v in flat.items()}
+        self.map = mmap.mmap(-1, sum(v.nbytes + 8 for v in parts.values()) + 8)
+        at, views = 0, {}
+        for key, v in parts.items():
+            views[key] = np.frombuffer(self.map, v.dtype, len(v), at)
+            views[key][:] = v
+            at += v.nbytes + 7 & ~7
+        self.sequences = {name: EliasFano({k: views[name, k] for k in ("low", "high", "rank")}, *size) for name, size in sizes.items()}
+        self.steps = {k: views["", k] for k in flat}
 
     def __enter__(self) -> Trie:
         return self
 
     def __exit__(self, *_) -> None:
-        del self.sequences, self.file, self.steps
-        os.unlink(self.path)
+        del self.sequences, self.steps, self.map  # the map closes with its last view
 
     def pairs(self, words: np.ndarray, owner: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """Number of each pair (words[owner], context), -1 where it isn't there; every word and context is found once."""
@@ -223,11 +218,22 @@ def _spread(w: np.ndarray, shards: int) -> np.ndarray:
     return (mix(w.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
 
 
-def vocabulary(docs: DataFrame, shards: int, id_col: str, text_col: str, folds: int, held: int) -> tuple[int, int, int, dict[int, int]]:
-    """(documents, tokens, distinct tokens) of the training rows, and the counts of its hot tokens."""
+def _short(w: np.ndarray) -> np.ndarray:
+    """40 bits of a context's hash, which have to differ among the contexts of one word (or of one pair) only."""
+    return (mix(w.astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
+
+
+def _sorted_numbers(x: np.ndarray, top: int) -> np.ndarray:
+    """The stable order of integers from 0 to top - 1."""
+    n = len(x)
+    return np.sort(x * n + np.arange(n)) % n if n and top * n < 1 << 62 else np.argsort(x, kind="stable")
+
+
+def vocabulary(docs: DataFrame, shards: int, often: int, id_col: str, text_col: str, folds: int, held: int) -> tuple[int, int, int, dict[int, int]]:
+    """(documents, tokens, distinct tokens) of the training rows, and the counts of the words that occur more than `often` times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_parts, size, n_docs = [], 0, 0
+        held_parts, size = [], 0
 
         def flush() -> pa.RecordBatch:
             words, counts = np.unique(np.concatenate(held_parts), return_counts=True)
@@ -252,27 +258,56 @@ def vocabulary(docs: DataFrame, shards: int, id_col: str, text_col: str, folds:
         counts = np.frombuffer(b"".join(pdf["counts"]), np.uint32)
         names, at = np.unique(words, return_inverse=True)
         sums = np.bincount(at, counts).astype(np.int64)
-        often = sums * HOT > sums.sum()
-        return pd.DataFrame({"word": np.append(names[often], -1), "n": np.append(sums[often], sums.sum()), "distinct": np.append(np.zeros(often.sum(), np.int64), len(names))})
+        told = (sums > often) | (names == END)
+        return pd.DataFrame({"word": np.append(names[told], -1), "n": np.append(sums[told], sums.sum()), "distinct": np.append(np.zeros(told.sum(), np.int64), len(names))})
 
     training = docs.where(crc_mod_col(F.col(id_col), folds) != held)
     stats = training.select(text_col).mapInArrow(count, "shard int, words binary, counts binary").groupBy("shard").applyInPandas(total, "word long, n long, distinct long")
     stats = materialize(stats, "lm-words")
     tokens, distinct = stats.where("word < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    hot = {r.word: r.n for r in stats.where((F.col("word") >= 0) & (F.col("n") * HOT > tokens)).select("word", "n").collect()}
+    hot = {r.word: r.n for r in stats.where((F.col("word") >= 0) & (F.col("n") > often)).select("word", "n").collect()}
     ends = stats.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    release(stats)
     return ends, tokens, distinct, hot
 
 
-_PACKET = "shard int, block long, ids binary, trains binary, words binary, word_pairs binary, contexts binary, pair_triples binary, before binary, before_high binary, triple_docs binary, docs binary, times binary"
+def _hot_at(hot_words: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where word and context are both hot, and there the number of the pair among all pairs of hot words."""
+    there = np.flatnonzero(np.isin(w, hot_words) & np.isin(h, hot_words))
+    return there, np.searchsorted(hot_words, w[there]) * len(hot_words) + np.searchsorted(hot_words, h[there])
 
 
-def packets(docs: DataFrame, shards: int, hot: list[int], id_col: str, text_col: str, folds: int, held: int, third: bool) -> DataFrame:
-    """Each block of documents as one row for each shard: its n-grams there, with the documents that hold them.
+def hot_pairs(docs: DataFrame, hot: dict[int, int], often: int, id_col: str, text_col: str, folds: int, held: int) -> dict[tuple[int, int], int]:
+    """Counts of the (word, context) pairs that occur more than `often` times in the training rows; both of their words do so too."""
+    hot_words = np.array(sorted(hot), np.int64)
+    if not len(hot_words):
+        return {}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, int] = {}
+        for _, texts in text_batches(batches, 0):
+            w, h, _ = token_arrays(texts)
+            for pair, n in zip(*(x.tolist() for x in np.unique(_hot_at(hot_words, w, h)[1], return_counts=True)), strict=True):
+                sums[pair] = sums.get(pair, 0) + n
+        yield pa.record_batch([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], names=["pair", "n"])
 
-    A word before a pair is told by 48 bits of its hash, which have to differ within that pair only; without `third` it is 0.
+    training = docs.where(crc_mod_col(F.col(id_col), folds) != held)
+    counts = training.select(text_col).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > often)
+    return {(int(hot_words[r.pair // len(hot_words)]), int(hot_words[r.pair % len(hot_words)])): r.n for r in counts.collect()}
+
+
+_PACKET = "shard int, block long, home binary, levels binary, docs binary, words binary, contexts binary, contexts_high binary, before binary, before_high binary"
+
+
+def packets(docs: DataFrame, shards: int, hot: list[int], pairs: list[tuple[int, int]], id_col: str, text_col: str, folds: int, held: int, third: bool) -> DataFrame:
+    """Each block of documents as one row for each shard that some of its n-grams go to.
+
+    The tokens of a row are sorted by (word, context, word before); `docs` has the document of each token,
+    and `levels` whether the token is the first with its word (3), pair (2), triple (1) or none of them (0),
+    plus 4 where its document teaches. One row of each block, not always of the same shard, holds the ids.
     """
     hot_words = np.array(sorted(hot), np.int64)
+    hot_pair = np.sort(np.array([np.searchsorted(hot_words, w) * len(hot_words) + np.searchsorted(hot_words, h) for w, h in pairs], np.int64))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, ids, size, number = [], [], 0, 0
@@ -280,51 +315,50 @@ def packets(docs: DataFrame, shards: int, hot: list[int], id_col: str, text_col:
         def flush() -> pa.RecordBatch:
             block = (TaskContext.get().partitionId() << 24) + number
             w, h, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-            names, at = np.unique(w, return_inverse=True)
-            context_names, context_at = np.unique(h, return_inverse=True)
-            shard = _spread(w, shards)
-            spread = np.isin(names, hot_words)[at]
-            shard[spread] = _spread(w[spread] ^ (h[spread] << 1), shards)
-            key = (shard.astype(np.int64) * len(names) + at) * len(context_names) + context_at
-            g = np.zeros(len(w), np.int64)
+            taught = np.array([crc_mod(i, folds) != held for i in ids], bool)
+            names, word_at = np.unique(w, return_inverse=True)
+            contexts, context_at = np.unique(h, return_inverse=True)
+            before_at, befores = np.zeros(len(w), np.int64), np.append(_short(contexts), _short(np.array([BEFORE])))
             if third:
-                g[1:] = h[:-1]
-                g[h == START] = BEFORE
-                g = (mix(g.astype(np.uint64)) >> np.uint64(16)).astype(np.int64)
-            order = np.lexsort((d, g, key)) if len(key) else np.empty(0, np.int64)
-            key, g, d = key[order], g[order], d[order]
-            other = (key[1:] != key[:-1]) | (g[1:] != g[:-1])
-            entry = np.flatnonzero(np.concatenate([[True], other | (d[1:] != d[:-1])]))
-            times = np.diff(entry, append=len(key)).astype(np.uint32)
-            triple = np.flatnonzero(np.concatenate([[True], other])[entry])
-            key, g, d = key[entry], g[entry][triple], d[entry].astype(np.uint16)
-            triple_docs = np.diff(triple, append=len(key)).astype(np.uint16)  # of at most BLOCK_DOCS
-            key = key[triple]
-            pair = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            pair_triples = np.diff(pair, append=len(key)).astype(np.uint32)
-            pair_key = key[pair]
-            of_word = pair_key // len(context_names)
-            word = np.flatnonzero(np.concatenate([[True], of_word[1:] != of_word[:-1]]))
-            word_pairs = np.diff(word, append=len(pair)).astype(np.uint32)
-            word_shard = of_word[word] // len(names)
-            cuts = np.searchsorted(word_shard, np.arange(shards + 1))
-            pair_cuts = np.append(word, len(pair))[cuts]
-            triple_cuts = np.append(pair, len(key))[pair_cuts]
-            entry_cuts = np.append(triple, len(d))[triple_cuts]
-            word_hash, context_hash = names[of_word[word] % len(names)], context_names[pair_key % len(context_names)]
+                before_at[1:] = context_at[:-1]
+                before_at[h == START] = len(contexts)
+            pair, pair_at = np.unique(word_at * len(contexts) + context_at, return_inverse=True)
+            pair_word, pair_context = pair // len(contexts), pair % len(contexts)
+            shard_of = _spread(names, shards)[pair_word]
+            spread = np.isin(names, hot_words)[pair_word]
+            mixed = names[pair_word] ^ (contexts[pair_context] << 1)
+            shard_of[spread] = _spread(mixed[spread], shards)
+            shard = shard_of[pair_at]
+            if len(hot_pair):
+                there, k = _hot_at(hot_words, names[pair_word], contexts[pair_context])
+                spread = np.zeros(len(pair), bool)
+                spread[there[np.isin(k, hot_pair)]] = True
+                at = np.flatnonzero(spread[pair_at])
+                shard[at] = _spread(mixed[pair_at[at]] ^ (befores[before_at[at]] << 2), shards)
+            key = pair_at * len(befores) + before_at
+            order = _sorted_numbers(key, len(pair) * len(befores))
+            by_shard = shard[order].astype(np.uint16 if shards <= 1 << 16 else np.int64)
+            order = order[np.argsort(by_shard, kind="stable")]
+            key, by_shard, of_pair = key[order], shard[order], pair_at[order]
+            of_word = pair_word[of_pair]
+            other = lambda x: np.concatenate([[True], (x[1:] != x[:-1]) | (by_shard[1:] != by_shard[:-1])])
+            new_triple, new_pair, new_word = other(key), other(of_pair), other(of_word)
+            level = new_triple.astype(np.uint8) + new_pair + new_word + (taught[d[order]] * np.uint8(4))
+            cuts = np.searchsorted(by_shard, np.arange(shards + 1))
             some = np.flatnonzero(np.diff(cuts))
-            trains = np.array([crc_mod(i, folds) != held for i in ids], np.uint8).tobytes()
-            id_bytes, none = pa.array(ids, pa.int64()), pa.array([], pa.int64())
-            of = lambda x, c: [x[c[s] : c[s + 1]].tobytes() for s in some]
-            columns = [
-                pa.array(some, pa.int32()), pa.array(np.full(len(some), block), pa.int64()),
-                pa.array([_ids_to_bytes(id_bytes if k == 0 else none) for k in range(len(some))], pa.binary()), pa.array([trains] * len(some), pa.binary()),
-                *(pa.array(of(x, c), pa.binary()) for x, c in (
-                    (word_hash, cuts), (word_pairs, cuts), (context_hash, pair_cuts), (pair_triples, pair_cuts), (g.astype(np.uint32), triple_cuts), ((g >> 32).astype(np.uint16), triple_cuts),
-                    (triple_docs, triple_cuts), (d, entry_cuts), (times, entry_cuts),
-                )),
-            ]
-            return pa.record_batch(columns, names=[c.split()[0] for c in _PACKET.split(", ")])
+
+            def column(values: np.ndarray, new: np.ndarray | None = None) -> pa.Array:
+                at = cuts if new is None else np.concatenate([[0], np.cumsum(new)])[cuts]
+                return pa.array([values[at[s] : at[s + 1]].tobytes() for s in some], pa.binary())
+
+            before, context = befores[before_at[order[new_triple]]], befores[pair_context[of_pair[new_pair]]]
+            home = [None] * len(some)
+            home[block % len(some)] = _home(ids, taught, np.bincount(d, minlength=len(ids)))
+            return pa.record_batch([
+                pa.array(some, pa.int32()), pa.array(np.full(len(some), block), pa.int64()), pa.array(home, pa.binary()), column(level), column(d[order].astype(np.uint16)),
+                column(names[of_word[new_word]], new_word), column(context.astype(np.uint32), new_pair), column((context >> 32).astype(np.uint8), new_pair),
+                column(before.astype(np.uint32), new_triple), column((before >> 32).astype(np.uint8), new_triple),
+            ], names=[c.split()[0] for c in _PACKET.split(", ")])
 
         for batch, texts in text_batches(batches, 1, 1 << 20):
             w, h, d = token_arrays(texts)
@@ -340,123 +374,154 @@ def packets(docs: DataFrame, shards: int, hot: list[int], id_col: str, text_col:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, _PACKET)
 
 
-def _ids_to_bytes(ids: pa.Array) -> bytes:
-    """Ids with their nulls as one Arrow message."""
+def _home(ids: list[int | None], taught: np.ndarray, tokens: np.ndarray) -> bytes:
+    """What a block knows of its documents by itself, as one Arrow message."""
+    batch = pa.record_batch([pa.array(ids, pa.int64()), pa.array(taught), pa.array(tokens, pa.int64())], names=["id", "taught", "n"])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as out:
-        out.write_batch(pa.record_batch([ids], names=["id"]))
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def shard_scorer(n_docs: int, tokens: int, distinct: int, hot: dict[int, int], mu: float, third: float | None):
-    """A function from the packets of a shard to the shard's share of each document's sums."""
+class Packet:
+    """A row of `packets` as arrays over the shared memory of its record batch."""
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[name]])
-        trains = [np.frombuffer(x, np.uint8) for x in pdf.trains]
-        starts = np.concatenate([[0], np.cumsum([len(t) for t in trains])])
-        packet = np.repeat(np.arange(len(pdf)), [len(x) // 2 for x in pdf.docs]).astype(np.int32)
-        local, times, triple_docs, pair_triples = read("docs", np.uint16), read("times", np.uint32), read("triple_docs", np.uint16), read("pair_triples", np.uint32)
-        before = read("before_high", np.uint16).astype(np.int64) << 32 | read("before", np.uint32)
-        words, word_pairs, contexts = read("words", np.int64), read("word_pairs", np.uint32), read("contexts", np.int64)
-        part_of_pair = np.repeat((mix(words.astype(np.uint64)) >> np.uint64(40)) % np.uint64(PARTS), word_pairs).astype(np.uint8)
-        sums = {"score": np.zeros(starts[-1], np.int64), "base": np.zeros(starts[-1]), "known": np.zeros(starts[-1], np.uint32), "n": np.zeros(starts[-1], np.uint32)}
-        for part in range(PARTS):  # words apart from one another, so a part of the shard is enough at a time
-            pairs = np.flatnonzero(part_of_pair == part)
-            if not len(pairs):
-                continue
-            triples = np.flatnonzero(np.repeat(part_of_pair == part, pair_triples))
-            entries = np.flatnonzero(np.repeat(np.repeat(part_of_pair == part, pair_triples), triple_docs))
-            doc = local[entries] + starts[packet[entries]]
-            taught = np.concatenate(trains)[doc] > 0
-            _score_part(sums, np.repeat(words, word_pairs)[pairs], contexts[pairs], np.repeat(np.arange(len(pairs)), pair_triples[pairs]), before[triples], np.repeat(np.arange(len(triples)), triple_docs[triples]), doc, times[entries], taught)
-        cut = lambda x: [x[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        return pd.DataFrame({"block": pdf.block, "shard": pdf["shard"], "ids": pdf.ids, "trains": pdf.trains.where(pdf.ids.map(len) > _NO_IDS, b""), **{k: cut(v) for k, v in sums.items()}})
-
-    def _score_part(sums: dict, word: np.ndarray, context: np.ndarray, pair_of_triple: np.ndarray, before: np.ndarray, triple_of_entry: np.ndarray, doc: np.ndarray, times: np.ndarray, taught: np.ndarray) -> None:
-        order = np.lexsort((context, word))
-        w, h = word[order], context[order]
-        new = np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])])
-        number = np.empty(len(order), np.int32)
-        number[order] = np.cumsum(new) - 1
-        w, h = w[new], h[new]
-        pair_of_triple = number[pair_of_triple]
-        entry = pair_of_triple[triple_of_entry]
-        pair_count = np.bincount(entry, np.where(taught, times, 0), len(w)).astype(np.int64)
-        words, at = np.unique(w, return_inverse=True)
+    def __init__(self, row: dict[str, pa.Scalar]) -> None:
+        read = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
+        self.block, self.home = row["block"].as_py(), row["home"].as_py()
+        self.levels, self.docs, self.words = read("levels", np.uint8), read("docs", np.uint16), read("words", np.int64)
+        self.contexts = read("contexts_high", np.uint8).astype(np.int64) << 32 | read("contexts", np.uint32)
+        self.before = read("before_high", np.uint8).astype(np.int64) << 32 | read("before", np.uint32)
+        level = self.levels & 3
+        self.triple_starts = np.flatnonzero(level >= 1)
+        of_triple = level[self.triple_starts]
+        self.triple_pair = (np.cumsum(of_triple >= 2) - 1).astype(np.int32)
+        self.pair_word = (np.cumsum(of_triple[of_triple >= 2] == 3) - 1).astype(np.int32)
+        self.taught = np.add.reduceat(self.levels >> 2, self.triple_starts, dtype=np.int64)
+
+
+def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (high, low) in order, as two arrays, and the number of each input among them; high counts from 0."""
+    names, at = np.unique(low, return_inverse=True)
+    keys, number = np.unique(high * len(names) + at, return_inverse=True)
+    return keys // max(len(names), 1), names[keys % max(len(names), 1)], number
+
+
+def shard_scorer(tokens: int, distinct: int, hot: dict[int, int], pairs: dict[tuple[int, int], int], mu: float, third: float | None):
+    """A function from the packets of a shard to the shard's share of the sums, for those documents that have any of its tokens."""
+    hot_words = np.array(sorted(hot), np.int64)
+    contexts = _short(np.array([h for _, h in pairs], np.int64))
+    hot_pair = {(w, int(c)): n for (w, _), c, n in zip(pairs, contexts, pairs.values(), strict=True)}
+
+    def score(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [Packet(r) for b in batches for r in _rows(b)]
+        words, word_at = np.unique(np.concatenate([p.words for p in rows]), return_inverse=True)
+        word_starts = np.cumsum([0] + [len(p.words) for p in rows])
+        pair_of = np.concatenate([word_at[a + p.pair_word] for a, p in zip(word_starts, rows, strict=False)])
+        at, h, pair_number = _distinct(pair_of, np.concatenate([p.contexts for p in rows]))
+        pair_starts = np.cumsum([0] + [len(p.contexts) for p in rows])
+        triple_of = np.concatenate([pair_number[a + p.triple_pair] for a, p in zip(pair_starts, rows, strict=False)])
+        p, g, triple_number = _distinct(triple_of, np.concatenate([x.before for x in rows]))
+        triple_count = np.bincount(triple_number, np.concatenate([x.taught for x in rows]), len(p)).astype(np.int64)
+        pair_count = np.bincount(p, triple_count, len(at)).astype(np.int64)
         count = np.bincount(at, pair_count, len(words)).astype(np.int64)
-        for k, n in hot.items():  # spread over all shards, so counted before
-            i = np.searchsorted(words, k)
-            if i < len(words) and words[i] == k:
-                count[i] = n
+        if hot:  # spread over all shards, so counted before
+            i = np.flatnonzero(np.isin(words, hot_words))
+            count[i] = [hot[x] for x in words[i].tolist()]
+            for i in np.flatnonzero(np.isin(words, hot_words)[at] & np.isin(h, contexts)):
+                pair_count[i] = hot_pair.get((int(words[at[i]]), int(h[i])), pair_count[i])
         unigram = np.log10((count + 1) / (tokens + distinct + 1))
-        low = _steps(unigram + np.log10(mu))
-        seen = np.flatnonzero(pair_count)
-        value = _steps(np.log10(pair_count[seen] + mu * 10.0 ** unigram[at[seen]]))
-        known = np.flatnonzero(count)
-        place = np.full(len(words), -1)
-        place[known] = np.arange(len(known))
-        more = None
-        if third:
-            order = np.lexsort((before, pair_of_triple))
-            p, g = pair_of_triple[order], before[order]
-            new = np.concatenate([[True], (p[1:] != p[:-1]) | (g[1:] != g[:-1])])
-            number = np.empty(len(order), np.int32)
-            number[order] = np.cumsum(new) - 1
-            p, g, triple = p[new], g[new], number[triple_of_entry]
-            triple_count = np.bincount(triple, np.where(taught, times, 0), len(p)).astype(np.int64)
-            seen3 = np.flatnonzero(triple_count)
-            number_of_pair = np.cumsum(pair_count > 0) - 1
-            value3 = _steps(np.log10(triple_count[seen3] + third * (pair_count[p[seen3]] + mu * 10.0 ** unigram[at[p[seen3]]])))
-            more = number_of_pair[p[seen3]], g[seen3], value3, _steps(np.log10(pair_count[seen] + third * (count[at[seen]] + mu)))
-        with Trie(words[known], _steps(np.log10(count[known] + mu)), place[at[seen]], h[seen], value, more) as trie:
-            found = trie.pairs(words, at, h)
-            there = found >= 0
-            after = np.full(len(words), _steps(np.log10(mu)))
-            after[known] = trie.steps["backoff"]
-            numerator, after = low[at], after[at]
-            numerator[there] = trie.steps["values"][found[there]]
-            if third:
-                less = _steps(np.log10(third))
-                after += less
-                after[there] = trie.steps["backoff2"][found[there]]
-                found3 = trie.triples(found, p, g)
-                there = found3 >= 0
-                numerator = numerator[p] + less
-                numerator[there] = trie.steps["values3"][found3[there]]
-        after[words[at] == END] = 0  # nothing follows the end
-        gained = numerator[triple] - after[entry] if third else (numerator - after)[entry]
-        total, word_of_entry = len(sums["n"]), at[entry]
-        sums["score"] += np.bincount(doc, gained * times.astype(np.int64), total).astype(np.int64)
-        sums["base"] += np.bincount(doc, unigram[word_of_entry] * times, total)
-        sums["known"] += np.bincount(doc, np.where(count[word_of_entry] > 0, times, 0), total).astype(np.uint32)
-        sums["n"] += np.bincount(doc, times, total).astype(np.uint32)
+        gained = _gains(words, at, h, p, g, count, pair_count, triple_count, unigram, mu, third)
+        more = np.log10(count + 1.0)
+        triple_starts = np.cumsum([0] + [len(x.before) for x in rows])
+        for row, first in zip(rows, triple_starts, strict=False):
+            triple = triple_number[first : first + len(row.before)]
+            times = np.diff(row.triple_starts, append=len(row.levels))
+            word = np.repeat(at[p[triple]], times)
+            n = int(row.docs.max()) + 1
+            there = np.flatnonzero(np.bincount(row.docs, minlength=n))
+            sums = np.bincount(row.docs, np.repeat(gained[triple], times), n)[there].astype(np.int64)  # whole numbers below 2**53
+            unknown = np.bincount(row.docs, count[word] == 0, n).astype(np.uint32)
+            some = np.flatnonzero(unknown)
+            narrow = np.int32 if np.abs(sums).max() < 1 << 31 else np.int64
+            values = [there.astype(np.uint16), sums.astype(narrow), np.bincount(row.docs, more[word], n)[there], some.astype(np.uint16), unknown[some]]
+            yield pa.record_batch([pa.array([row.block]), pa.array([key[0].as_py()], pa.int32()), pa.array([row.home], pa.binary()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=[c.split()[0] for c in _SUMS.split(", ")])
 
     return score
 
 
-_NO_IDS = len(_ids_to_bytes(pa.array([], pa.int64())))
+_SUMS = "block long, shard int, home binary, docs binary, score binary, base binary, unknown_docs binary, unknown binary"
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
+    for i in range(batch.num_rows):
+        yield {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+
+
+def _gains(words: np.ndarray, at: np.ndarray, h: np.ndarray, p: np.ndarray, g: np.ndarray, count: np.ndarray, pair_count: np.ndarray, triple_count: np.ndarray, unigram: np.ndarray, mu: float, third: float | None) -> np.ndarray:
+    """For each triple (pair p, word before g) what a token of it adds to a score, in steps, by a trie of those seen in training."""
+    low = _steps(unigram + np.log10(mu))
+    seen = np.flatnonzero(pair_count)
+    value = _steps(np.log10(pair_count[seen] + mu * 10.0 ** unigram[at[seen]]))
+    known = np.flatnonzero(count)
+    place = np.full(len(words), -1)
+    place[known] = np.arange(len(known))
+    more = None
+    if third:
+        seen3 = np.flatnonzero(triple_count)
+        number_of_pair = np.cumsum(pair_count > 0) - 1
+        value3 = _steps(np.log10(triple_count[seen3] + third * (pair_count[p[seen3]] + mu * 10.0 ** unigram[at[p[seen3]]])))
+        more = number_of_pair[p[seen3]], g[seen3], value3, _steps(np.log10(pair_count[seen] + third * (count[at[seen]] + mu)))
+    with Trie(words[known], _steps(np.log10(count[known] + mu)), place[at[seen]], h[seen], value, more) as trie:
+        found = trie.pairs(words, at, h)
+        there = found >= 0
+        after = np.full(len(words), _steps(np.log10(mu)))
+        after[known] = trie.steps["backoff"]
+        numerator, after = low[at], after[at]
+        numerator[there] = trie.steps["values"][found[there]]
+        if third:
+            less = _steps(np.log10(third))
+            after += less
+            after[there] = trie.steps["backoff2"][found[there]]
+            found3 = trie.triples(found, p, g)
+            there = found3 >= 0
+            numerator = numerator[p] + less
+            numerator[there] = trie.steps["values3"][found3[there]]
+    after[words[at] == END] = 0  # nothing follows the end
+    return numerator - after[p] if third else (numerator - after)[p]
+
+
+def shard_sums(docs: DataFrame, shards: int, often: int, split: tuple[str, str, int, int], mu: float, third: float | None) -> tuple[DataFrame, int, int, int]:
+    """The sums of each block from each shard, and the documents, tokens and distinct tokens of the training rows."""
+    n_docs, tokens, distinct, hot = vocabulary(docs, shards, often, *split)
+    pairs = hot_pairs(docs, hot, often, *split) if third else {}
+    cut = packets(docs, shards, list(hot), list(pairs), *split, bool(third))
+    return cut.groupBy("shard").applyInArrow(shard_scorer(tokens, distinct, hot, pairs, mu, third), _SUMS), n_docs, tokens, distinct
 
 
-def score_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, mu: float = MU, third: float | None = None) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10); of trigrams with the weight `third`, else of bigrams."""
+def score_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, mu: float = MU, third: float | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10); of trigrams with the weight `third`, else of bigrams.
+
+    A shard has about `shard_bytes` of text; words and pairs with more occurrences than `shard_bytes` / HOT_BYTES are spread over the shards.
+    """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    shards = max(12, -(-size // SHARD_BYTES))
-    n_docs, tokens, distinct, hot = vocabulary(docs, shards, id_col, text_col, folds, held)
-    sums = packets(docs, shards, list(hot), id_col, text_col, folds, held, bool(third)).groupBy("shard").applyInPandas(
-        shard_scorer(n_docs, tokens, distinct, hot, mu, third), "block long, shard int, ids binary, trains binary, score binary, base binary, known binary, n binary"
-    )
+    shards, often = max(12, -(-size // shard_bytes)), max(1, shard_bytes // HOT_BYTES)
+    sums, n_docs, tokens, distinct = shard_sums(docs, shards, often, (id_col, text_col, folds, held), mu, third)
     first = int(_steps(np.log10(np.array([n_docs + third * (n_docs + mu) if third else n_docs + mu])))[0])
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")
-        row = pdf.ids.map(len).idxmax()
-        with pa.ipc.open_stream(pdf.ids[row]) as stream:
-            ids = stream.read_all().column("id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-        add = lambda name, kind: np.sum([np.frombuffer(x, kind) for x in pdf[name]], axis=0)
+        with pa.ipc.open_stream(pdf.home.dropna().iloc[0]) as stream:
+            home = stream.read_all()
+        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[name]])
+        n, docs = home.column("n").to_numpy(), read("docs", np.uint16)
+        narrow = [np.int32 if len(s) == 2 * len(d) else np.int64 for s, d in zip(pdf.score, pdf.docs, strict=True)]
+        gained = np.concatenate([np.frombuffer(s, kind) for s, kind in zip(pdf.score, narrow, strict=True)])
+        add = lambda at, values: np.bincount(at, values, len(n))
         return pd.DataFrame({
-            "doc_id": ids, "held_out": np.frombuffer(pdf.trains[row], np.uint8) == 0, "n_tokens": add("n", np.uint32).astype(np.int64), "n_known": add("known", np.uint32).astype(np.int64),
-            "train_tokens": np.int64(tokens), "base_score": add("base", np.float64), "score": (add("score", np.int64) - first) / STEPS,
+            "doc_id": home.column("id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "held_out": ~home.column("taught").to_numpy(), "n_tokens": n,
+            "n_known": n - add(read("unknown_docs", np.uint16), read("unknown", np.uint32)).astype(np.int64), "train_tokens": np.int64(tokens),
+            "base_score": add(docs, read("base", np.float64)) - n * np.log10(tokens + distinct + 1.0), "score": (add(docs, gained) - first) / STEPS,
         })
 
     return sums.groupBy("block").applyInPandas(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

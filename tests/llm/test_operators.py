@@ -432,6 +432,31 @@ def test_lm_query_scores_by_trigrams(spark):
     assert got.score.sum() > pairs.score.sum() and (got.sort_values("doc_id").base_score.to_numpy() == pytest.approx(pairs.sort_values("doc_id").base_score.to_numpy()))
 
 
+def test_lm_score_is_the_same_at_any_number_of_shards(docs, monkeypatch):
+    """Hot words and pairs spread over many shards, null and repeated ids, long texts."""
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 5000)
+    copies = docs.sparkSession.createDataFrame([(2000 + i, f"hot pair of words {i} " * 20) for i in range(30)], "doc_id long, text string")
+    table = docs.select(F.when(F.col("doc_id") != 3, F.col("doc_id")).alias("doc_id"), "text").union(copies)
+    order = ["doc_id", "n_tokens", "score"]
+    few, many = (lm_score.score_table(table, third=0.002, shard_bytes=b).toPandas().sort_values(order).reset_index(drop=True) for b in (1 << 24, 5000))
+    assert few.doc_id.isna().sum() == 1 and few.drop(columns="base_score").equals(many.drop(columns="base_score"))
+    assert few.base_score.to_numpy() == pytest.approx(many.base_score.to_numpy(), rel=1e-12)
+    split = "doc_id", "text", 7, 2
+    hot = lm_score.vocabulary(table, 80, 5000 // lm_score.HOT_BYTES, *split)[3]
+    assert hot and lm_score.hot_pairs(table, hot, 5000 // lm_score.HOT_BYTES, *split)
+
+
+def test_lm_sums_do_not_grow_with_shards(spark):
+    docs = common.read_table(spark, "/root/testdata/sf0.001", "documents")
+    texts = [r.text or "" for r in docs.collect()]
+    size = 6 * sum(len(tokens(t)) + 1 for t in texts)
+    for shards in (12, 48, 192, 768):
+        sums = lm_score.shard_sums(docs, shards, 1 << 18, ("doc_id", "text", 7, 2), lm_score.MU, lm_score.THIRD)[0].toPandas()
+        payload = sum(sums[c].map(len).sum() for c in ("docs", "score", "base", "unknown_docs", "unknown"))
+        assert payload <= 2.5 * size
+        assert sums.home.notna().sum() == sums.block.nunique()
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 5), (10, 2**62), (1000, 3000), (5000, 2**61)):
