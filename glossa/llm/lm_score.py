@@ -42,9 +42,10 @@ from glossa.llm.words import hash_words, mix, text_batches
 MU = 1000.0
 THIRD = 0.002  # of 0.0005 to 0.5 the weight with the highest held-out score at sf0.1
 STEPS = 4096
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 24 << 20
+PARTS = 8  # of a shard, by hash; its task works on one at a time
 HOT_BYTES = 48  # a word of six bytes, an eighth of a shard
-BLOCK_TOKENS, BLOCK_DOCS = 500_000, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
 END, START, BEFORE = 1, 2, 3  # hashes of the end token, of the context before the first word and of the one before that; words have none below 4
 
 
@@ -218,8 +219,16 @@ def _spread(w: np.ndarray, shards: int) -> np.ndarray:
     return (mix(w.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
 
 
+def _bytes(counts: np.ndarray) -> np.ndarray:
+    """Each count as bytes that add up to it, the last one below 255."""
+    times = counts // 255 + 1
+    out = np.full(times.sum(), 255, np.uint8)
+    out[np.cumsum(times) - 1] = counts % 255
+    return out
+
+
 def _short(w: np.ndarray) -> np.ndarray:
-    """40 bits of a context's hash, which have to differ among the contexts of one word (or of one pair) only."""
+    """40 bits of a context's hash, which have to differ among the contexts of one word only; of words before a pair the lower 32 are told."""
     return (mix(w.astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
 
 
@@ -237,12 +246,13 @@ def vocabulary(docs: DataFrame, shards: int, often: int, id_col: str, text_col:
 
         def flush() -> pa.RecordBatch:
             words, counts = np.unique(np.concatenate(held_parts), return_counts=True)
+            words, counts = np.repeat(words, counts // 255 + 1), _bytes(counts)
             shard = _spread(words, shards)
             order = np.argsort(shard, kind="stable")
             words, counts, shard = words[order], counts[order], shard[order]
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             some = np.flatnonzero(np.diff(cuts))
-            return pa.record_batch([pa.array(some, pa.int32()), pa.array([words[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()), pa.array([counts[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in some], pa.binary())], names=["shard", "words", "counts"])
+            return pa.record_batch([pa.array(some, pa.int32()), pa.array([words[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary()), pa.array([counts[cuts[s] : cuts[s + 1]].tobytes() for s in some], pa.binary())], names=["shard", "words", "counts"])
 
         for _, texts in text_batches(batches, 0):
             held_parts.append(token_arrays(texts)[0])
@@ -255,7 +265,7 @@ def vocabulary(docs: DataFrame, shards: int, often: int, id_col: str, text_col:
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         words = np.frombuffer(b"".join(pdf.words), np.int64)
-        counts = np.frombuffer(b"".join(pdf["counts"]), np.uint32)
+        counts = np.frombuffer(b"".join(pdf["counts"]), np.uint8)
         names, at = np.unique(words, return_inverse=True)
         sums = np.bincount(at, counts).astype(np.int64)
         told = (sums > often) | (names == END)
@@ -296,16 +306,18 @@ def hot_pairs(docs: DataFrame, hot: dict[int, int], often: int, id_col: str, tex
     return {(int(hot_words[r.pair // len(hot_words)]), int(hot_words[r.pair % len(hot_words)])): r.n for r in counts.collect()}
 
 
-_PACKET = "shard int, block long, home binary, levels binary, docs binary, words binary, contexts binary, contexts_high binary, before binary, before_high binary"
+_PACKET = "shard int, block long, home binary, parts binary, levels binary, docs binary, words binary, contexts binary, contexts_high binary, before binary"
 
 
 def packets(docs: DataFrame, shards: int, hot: list[int], pairs: list[tuple[int, int]], id_col: str, text_col: str, folds: int, held: int, third: bool) -> DataFrame:
     """Each block of documents as one row for each shard that some of its n-grams go to.
 
-    The tokens of a row are sorted by (word, context, word before); `docs` has the document of each token,
-    and `levels` whether the token is the first with its word (3), pair (2), triple (1) or none of them (0),
-    plus 4 where its document teaches. One row of each block, not always of the same shard, holds the ids.
+    The tokens of a row are sorted by (part of the shard, word, context, word before), and `parts` says where
+    each part ends; `docs` has the document of each token, and `levels` whether the token is the first with its
+    word (3), pair (2), triple (1) or none of them (0), plus 4 where its document teaches. One row of each
+    block, not always of the same shard, holds the ids.
     """
+    every = shards * PARTS
     hot_words = np.array(sorted(hot), np.int64)
     hot_pair = np.sort(np.array([np.searchsorted(hot_words, w) * len(hot_words) + np.searchsorted(hot_words, h) for w, h in pairs], np.int64))
 
@@ -324,27 +336,28 @@ def packets(docs: DataFrame, shards: int, hot: list[int], pairs: list[tuple[int,
                 before_at[h == START] = len(contexts)
             pair, pair_at = np.unique(word_at * len(contexts) + context_at, return_inverse=True)
             pair_word, pair_context = pair // len(contexts), pair % len(contexts)
-            shard_of = _spread(names, shards)[pair_word]
+            part_of = _spread(names, every)[pair_word]
             spread = np.isin(names, hot_words)[pair_word]
             mixed = names[pair_word] ^ (contexts[pair_context] << 1)
-            shard_of[spread] = _spread(mixed[spread], shards)
-            shard = shard_of[pair_at]
+            part_of[spread] = _spread(mixed[spread], every)
+            part = part_of[pair_at]
             if len(hot_pair):
                 there, k = _hot_at(hot_words, names[pair_word], contexts[pair_context])
                 spread = np.zeros(len(pair), bool)
                 spread[there[np.isin(k, hot_pair)]] = True
                 at = np.flatnonzero(spread[pair_at])
-                shard[at] = _spread(mixed[pair_at[at]] ^ (befores[before_at[at]] << 2), shards)
+                part[at] = _spread(mixed[pair_at[at]] ^ (befores[before_at[at]] << 2), every)
             key = pair_at * len(befores) + before_at
             order = _sorted_numbers(key, len(pair) * len(befores))
-            by_shard = shard[order].astype(np.uint16 if shards <= 1 << 16 else np.int64)
-            order = order[np.argsort(by_shard, kind="stable")]
-            key, by_shard, of_pair = key[order], shard[order], pair_at[order]
+            by_part = part[order].astype(np.uint16 if every <= 1 << 16 else np.int64)
+            order = order[np.argsort(by_part, kind="stable")]
+            key, by_part, of_pair = key[order], part[order], pair_at[order]
             of_word = pair_word[of_pair]
-            other = lambda x: np.concatenate([[True], (x[1:] != x[:-1]) | (by_shard[1:] != by_shard[:-1])])
+            other = lambda x: np.concatenate([[True], (x[1:] != x[:-1]) | (by_part[1:] != by_part[:-1])])
             new_triple, new_pair, new_word = other(key), other(of_pair), other(of_word)
             level = new_triple.astype(np.uint8) + new_pair + new_word + (taught[d[order]] * np.uint8(4))
-            cuts = np.searchsorted(by_shard, np.arange(shards + 1))
+            part_cuts = np.searchsorted(by_part, np.arange(every + 1))
+            cuts = part_cuts[::PARTS]
             some = np.flatnonzero(np.diff(cuts))
 
             def column(values: np.ndarray, new: np.ndarray | None = None) -> pa.Array:
@@ -355,9 +368,10 @@ def packets(docs: DataFrame, shards: int, hot: list[int], pairs: list[tuple[int,
             home = [None] * len(some)
             home[block % len(some)] = _home(ids, taught, np.bincount(d, minlength=len(ids)))
             return pa.record_batch([
-                pa.array(some, pa.int32()), pa.array(np.full(len(some), block), pa.int64()), pa.array(home, pa.binary()), column(level), column(d[order].astype(np.uint16)),
+                pa.array(some, pa.int32()), pa.array(np.full(len(some), block), pa.int64()), pa.array(home, pa.binary()), pa.array([(part_cuts[s * PARTS + 1 : (s + 1) * PARTS + 1] - cuts[s]).astype(np.uint32).tobytes() for s in some], pa.binary()),
+                column(level), column(d[order].astype(np.uint16)),
                 column(names[of_word[new_word]], new_word), column(context.astype(np.uint32), new_pair), column((context >> 32).astype(np.uint8), new_pair),
-                column(before.astype(np.uint32), new_triple), column((before >> 32).astype(np.uint8), new_triple),
+                column(before.astype(np.uint32), new_triple),
             ], names=[c.split()[0] for c in _PACKET.split(", ")])
 
         for batch, texts in text_batches(batches, 1, 1 << 20):
@@ -384,27 +398,48 @@ def _home(ids: list[int | None], taught: np.ndarray, tokens: np.ndarray) -> byte
 
 
 class Packet:
-    """A row of `packets` as arrays over the shared memory of its record batch."""
+    """A row of `packets` over the shared memory of its record batch, and what its documents have gained in the parts so far."""
 
     def __init__(self, row: dict[str, pa.Scalar]) -> None:
         read = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
         self.block, self.home = row["block"].as_py(), row["home"].as_py()
         self.levels, self.docs, self.words = read("levels", np.uint8), read("docs", np.uint16), read("words", np.int64)
-        self.contexts = read("contexts_high", np.uint8).astype(np.int64) << 32 | read("contexts", np.uint32)
-        self.before = read("before_high", np.uint8).astype(np.int64) << 32 | read("before", np.uint32)
-        level = self.levels & 3
-        self.triple_starts = np.flatnonzero(level >= 1)
-        of_triple = level[self.triple_starts]
+        self.contexts, self.contexts_high, self.before = read("contexts", np.uint32), read("contexts_high", np.uint8), read("before", np.uint32)
+        self.ends = np.concatenate([[0], read("parts", np.uint32).astype(np.int64)])
+        first = np.array([np.bincount(self.levels[a:b] & 3, minlength=4) for a, b in zip(self.ends, self.ends[1:], strict=False)])
+        at_least = np.cumsum(first[:, ::-1], axis=1)[:, ::-1]  # tokens of level 0, 1, 2, 3 and above
+        self.at = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(at_least, axis=0)])
+        self.sums: list[tuple[np.ndarray, ...]] = []
+
+    def part(self, k: int) -> Part | None:
+        """The k-th part of the row, None if it is empty."""
+        (t, a, b, c), (t_end, a_end, b_end, c_end) = self.at[k], self.at[k + 1]
+        if t == t_end:
+            return None
+        contexts = self.contexts_high[b:b_end].astype(np.int64) << 32 | self.contexts[b:b_end]
+        return Part(self, self.levels[t:t_end], self.docs[t:t_end], self.words[c:c_end], contexts, self.before[a:a_end])
+
+
+class Part:
+    """The tokens of a packet in a part: `first` of each triple, the pair of each triple, the word of each pair, the training tokens of each triple."""
+
+    def __init__(self, packet: Packet, levels: np.ndarray, docs: np.ndarray, words: np.ndarray, contexts: np.ndarray, before: np.ndarray) -> None:
+        self.packet, self.docs, self.words, self.contexts, self.before = packet, docs, words, contexts, before
+        level = levels & 3
+        first = np.flatnonzero(level)
+        of_triple = level[first]
+        self.times = np.diff(first, append=len(levels)).astype(np.int32)
         self.triple_pair = (np.cumsum(of_triple >= 2) - 1).astype(np.int32)
         self.pair_word = (np.cumsum(of_triple[of_triple >= 2] == 3) - 1).astype(np.int32)
-        self.taught = np.add.reduceat(self.levels >> 2, self.triple_starts, dtype=np.int64)
+        self.taught = np.add.reduceat(levels >> 2, first, dtype=np.int32)
 
 
 def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (high, low) in order, as two arrays, and the number of each input among them; high counts from 0."""
     names, at = np.unique(low, return_inverse=True)
-    keys, number = np.unique(high * len(names) + at, return_inverse=True)
-    return keys // max(len(names), 1), names[keys % max(len(names), 1)], number
+    at += high * len(names)
+    keys, number = np.unique(at, return_inverse=True)
+    return keys // len(names), names[keys % len(names)].astype(np.int64), number
 
 
 def shard_scorer(tokens: int, distinct: int, hot: dict[int, int], pairs: dict[tuple[int, int], int], mu: float, third: float | None):
@@ -414,15 +449,30 @@ def shard_scorer(tokens: int, distinct: int, hot: dict[int, int], pairs: dict[tu
     hot_pair = {(w, int(c)): n for (w, _), c, n in zip(pairs, contexts, pairs.values(), strict=True)}
 
     def score(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [Packet(r) for b in batches for r in _rows(b)]
-        words, word_at = np.unique(np.concatenate([p.words for p in rows]), return_inverse=True)
-        word_starts = np.cumsum([0] + [len(p.words) for p in rows])
-        pair_of = np.concatenate([word_at[a + p.pair_word] for a, p in zip(word_starts, rows, strict=False)])
-        at, h, pair_number = _distinct(pair_of, np.concatenate([p.contexts for p in rows]))
-        pair_starts = np.cumsum([0] + [len(p.contexts) for p in rows])
-        triple_of = np.concatenate([pair_number[a + p.triple_pair] for a, p in zip(pair_starts, rows, strict=False)])
-        p, g, triple_number = _distinct(triple_of, np.concatenate([x.before for x in rows]))
-        triple_count = np.bincount(triple_number, np.concatenate([x.taught for x in rows]), len(p)).astype(np.int64)
+        packets = [Packet(r) for b in batches for r in _rows(b)]
+        for k in range(PARTS):
+            score_part([part for p in packets if (part := p.part(k))])
+        for packet in packets:
+            docs, gained, base, unknown = (np.concatenate(x) for x in zip(*packet.sums, strict=True))
+            there, at = np.unique(docs, return_inverse=True)
+            sums = np.bincount(at, gained).astype(np.int64)  # whole numbers below 2**53
+            unknown = np.bincount(at, unknown).astype(np.uint32)
+            some = np.flatnonzero(unknown)
+            narrow = np.int32 if np.abs(sums).max() < 1 << 31 else np.int64
+            values = [there, sums.astype(narrow), np.bincount(at, base), there[some], unknown[some]]
+            yield pa.record_batch([pa.array([packet.block]), pa.array([key[0].as_py()], pa.int32()), pa.array([packet.home], pa.binary()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=[c.split()[0] for c in _SUMS.split(", ")])
+
+    def score_part(parts: list[Part]) -> None:
+        if not parts:
+            return
+        starts = lambda name: np.cumsum([0] + [len(getattr(x, name)) for x in parts])[:-1]
+        every = lambda name: np.concatenate([getattr(x, name) for x in parts])
+        words, word_at = np.unique(every("words"), return_inverse=True)
+        pair_of = np.concatenate([word_at[first + x.pair_word] for first, x in zip(starts("words"), parts, strict=True)])
+        at, h, pair_number = _distinct(pair_of, every("contexts"))
+        triple_of = np.concatenate([pair_number[first + x.triple_pair] for first, x in zip(starts("contexts"), parts, strict=True)])
+        p, g, triple_number = _distinct(triple_of, every("before"))
+        triple_count = np.bincount(triple_number, every("taught"), len(p)).astype(np.int64)
         pair_count = np.bincount(p, triple_count, len(at)).astype(np.int64)
         count = np.bincount(at, pair_count, len(words)).astype(np.int64)
         if hot:  # spread over all shards, so counted before
@@ -432,20 +482,12 @@ def shard_scorer(tokens: int, distinct: int, hot: dict[int, int], pairs: dict[tu
                 pair_count[i] = hot_pair.get((int(words[at[i]]), int(h[i])), pair_count[i])
         unigram = np.log10((count + 1) / (tokens + distinct + 1))
         gained = _gains(words, at, h, p, g, count, pair_count, triple_count, unigram, mu, third)
-        more = np.log10(count + 1.0)
-        triple_starts = np.cumsum([0] + [len(x.before) for x in rows])
-        for row, first in zip(rows, triple_starts, strict=False):
-            triple = triple_number[first : first + len(row.before)]
-            times = np.diff(row.triple_starts, append=len(row.levels))
-            word = np.repeat(at[p[triple]], times)
-            n = int(row.docs.max()) + 1
-            there = np.flatnonzero(np.bincount(row.docs, minlength=n))
-            sums = np.bincount(row.docs, np.repeat(gained[triple], times), n)[there].astype(np.int64)  # whole numbers below 2**53
-            unknown = np.bincount(row.docs, count[word] == 0, n).astype(np.uint32)
-            some = np.flatnonzero(unknown)
-            narrow = np.int32 if np.abs(sums).max() < 1 << 31 else np.int64
-            values = [there.astype(np.uint16), sums.astype(narrow), np.bincount(row.docs, more[word], n)[there], some.astype(np.uint16), unknown[some]]
-            yield pa.record_batch([pa.array([row.block]), pa.array([key[0].as_py()], pa.int32()), pa.array([row.home], pa.binary()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=[c.split()[0] for c in _SUMS.split(", ")])
+        more, unknown = np.log10(count + 1.0), count == 0
+        for first, x in zip(starts("before"), parts, strict=True):
+            triple = triple_number[first : first + len(x.before)]
+            word, gain = np.repeat(at[p[triple]], x.times), np.repeat(gained[triple], x.times)
+            there, doc = np.unique(x.docs, return_inverse=True)
+            x.packet.sums.append((there, np.bincount(doc, gain), np.bincount(doc, more[word]), np.bincount(doc, unknown[word])))
 
     return score
 

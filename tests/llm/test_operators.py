@@ -450,7 +450,7 @@ def test_lm_sums_do_not_grow_with_shards(spark):
     docs = common.read_table(spark, "/root/testdata/sf0.001", "documents")
     texts = [r.text or "" for r in docs.collect()]
     size = 6 * sum(len(tokens(t)) + 1 for t in texts)
-    for shards in (12, 48, 192, 768):
+    for shards in (12, 48, 192):
         sums = lm_score.shard_sums(docs, shards, 1 << 18, ("doc_id", "text", 7, 2), lm_score.MU, lm_score.THIRD)[0].toPandas()
         payload = sum(sums[c].map(len).sum() for c in ("docs", "score", "base", "unknown_docs", "unknown"))
         assert payload <= 2.5 * size
