@@ -45,7 +45,7 @@ STEPS = 4096
 SHARD_BYTES = 24 << 20
 PARTS = 8  # of a shard, by hash; its task works on one at a time
 HOT_BYTES = 48  # a word of six bytes, an eighth of a shard
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 500_000, 60_000
 END, START, BEFORE = 1, 2, 3  # hashes of the end token, of the context before the first word and of the one before that; words have none below 4
 
 
@@ -334,7 +334,12 @@ def packets(docs: DataFrame, shards: int, hot: list[int], pairs: list[tuple[int,
             if third:
                 before_at[1:] = context_at[:-1]
                 before_at[h == START] = len(contexts)
-            pair, pair_at = np.unique(word_at * len(contexts) + context_at, return_inverse=True)
+            parts.clear()
+            del w, h
+            word_at *= len(contexts)
+            word_at += context_at
+            pair, pair_at = np.unique(word_at, return_inverse=True)
+            del word_at, context_at
             pair_word, pair_context = pair // len(contexts), pair % len(contexts)
             part_of = _spread(names, every)[pair_word]
             spread = np.isin(names, hot_words)[pair_word]
@@ -350,9 +355,10 @@ def packets(docs: DataFrame, shards: int, hot: list[int], pairs: list[tuple[int,
             key = pair_at * len(befores) + before_at
             order = _sorted_numbers(key, len(pair) * len(befores))
             by_part = part[order].astype(np.uint16 if every <= 1 << 16 else np.int64)
-            order = order[np.argsort(by_part, kind="stable")]
-            key, by_part, of_pair = key[order], part[order], pair_at[order]
-            of_word = pair_word[of_pair]
+            order = order[np.argsort(by_part, kind="stable")].astype(np.int32)
+            key, by_part, of_pair = key[order], part[order], pair_at[order].astype(np.int32)
+            del part, pair_at
+            of_word = pair_word[of_pair].astype(np.int32)
             other = lambda x: np.concatenate([[True], (x[1:] != x[:-1]) | (by_part[1:] != by_part[:-1])])
             new_triple, new_pair, new_word = other(key), other(of_pair), other(of_word)
             level = new_triple.astype(np.uint8) + new_pair + new_word + (taught[d[order]] * np.uint8(4))

@@ -513,5 +513,24 @@ def test_ann(spark):
     assert hits >= 0.9 * 10 * got.query_id.nunique()
     few = ann.search_table(df.where("vec_id <= 4 and vec_id is not null"))
     assert few.count() == 4 and ann.search_table(df.where("vec_id < 0")).count() == 0
-    index = ann.index_table(df.where("vec_id < 50")).where("layer = 0").first()
-    assert len(index.neighbours) == len(index.vec_ids) * index.slots
+    index = ann.index_table(df.where("vec_id < 500"), shard_rows=1000).first()
+    assert len(index.vectors) == 4 * 16 * (len(index.id_ends) // 8) and len(index.neighbours) == 4 * 2 * ann.LINKS * (len(index.id_ends) // 8)
+    graph = ann.Graph.stored(index)
+    assert graph.entry_level == len(index.upper_nodes) and all(((g >= -1) & (g < len(graph.x))).all() for g in graph.neighbours)
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [5.0, 0.0]), (1, [5.5, 0.0]), (1, [1.25, 0.0]), (2, [9.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in ann.search_table(twice).orderBy("rank").collect()] == [(1, 0.25), (2, 4.0)]
+
+
+def test_ann_over_full_shards_in_clusters(spark, monkeypatch):
+    """Recall over shards filled to their size, with dense clusters far apart and several blocks of queries."""
+    monkeypatch.setattr(ann, "QUERIES", 16)
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(60, 24))[rng.integers(0, 60, 9000)] * 5 + rng.normal(size=(9000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = ann.search_table(df, shard_rows=2250).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(g.vec_id))
+    assert len(got) == 900 and hits >= 0.95 * 900
