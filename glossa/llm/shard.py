@@ -5,6 +5,8 @@ histogram of group sizes comes to the driver: sizes are rounded to `MANTISSA` si
 bounds it to about 2**MANTISSA * 40 rows at any corpus size. Within a size class the heap hands its
 groups out by number, and each group finds its shard from its number in the class.
 
+A group of more than a thousandth of all rows is dealt over parts when its shard goes back to its rows.
+
 Nulls and odd inputs: a null text has no bytes (size 1) and is grouped with empty texts; rows that
 repeat an id are placed one by one; an empty table gives no rows.
 """
@@ -16,9 +18,9 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import buckets_for, materialize, rank_in_group
+from glossa.llm.common import buckets_for, materialize, rank_in_group, release, spread_join
 
-MANTISSA = 11
+MANTISSA = 9
 
 
 def size_class(size):
@@ -79,6 +81,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     ranked = rank_in_group(groups.drop("__bytes"), ["cls"], group, "n", buckets_for(groups.count()))
     n = F.col("n")
     placed = ranked.join(F.broadcast(plan), "cls").where((n >= F.col("first")) & (n < F.col("end"))).select(*group, "shard")
-    placed = materialize(rows.join(placed, group).select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
+    counts = groups.select(*group, (F.col("__bytes") / F.col("size")).cast("long").alias("__n"))
+    placed = materialize(spread_join(rows, placed, group, counts, "doc_id").select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
+    release(rows, groups)
     out = rank_in_group(placed, ["shard"], ["doc_id", "text_crc32"], "slot", buckets_for(placed.count()))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
