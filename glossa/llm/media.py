@@ -26,6 +26,7 @@ FRAME = 64
 RATE = 25  # frames a second
 KEY_EVERY = 16
 CHUNK = 256  # frames in a chunk
+DEPTH = 32  # of boxes in boxes that the reader follows
 #: Fixed values of the container format: boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"moof", b"traf", b"mvex"}
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -88,10 +89,18 @@ def write_media(payload: bytes) -> bytes:
     return head + moov + box(b"mdat", payload)
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, body start, body end) of every box, depth first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    open_boxes: list[tuple[tuple[bytes, ...], int]] = [((), len(data))]
+    start = 0
+    while open_boxes:
+        path, end = open_boxes[-1]
+        if start + 8 > end:
+            if start != end and path:
+                raise ValueError(f"{end - start} bytes left over in {path[-1]!r}")
+            open_boxes.pop()
+            start = end
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -103,10 +112,12 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[b
             raise ValueError(f"box {kind!r} at {start} doesn't fit")
         yield (*path, kind), body, start + size
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
-    if start != end and path:
-        raise ValueError(f"{end - start} bytes left over in {path[-1]!r}")
+            if len(open_boxes) > DEPTH:
+                raise ValueError(f"boxes more than {DEPTH} deep")
+            open_boxes.append(((*path, kind), start + size))
+            start = body
+        else:
+            start += size
 
 
 def _column(data: memoryview, at: int, count: int, kind: str = ">u4") -> np.ndarray:
@@ -141,6 +152,8 @@ def read_tracks(media: bytes) -> list[dict]:
             t["stsc"] = _column(data, a + 8, 3 * count).reshape(-1, 3)
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", data, a + 4)
+            if n * max(size, 4 * (size == 0)) > len(data):  # before anything of that size is allocated
+                raise ValueError(f"{n} samples don't fit into the file")
             t["size"] = np.full(n, size, np.int64) if size else _column(data, a + 12, n)
         elif kind in (b"stco", b"co64"):
             t["chunks"] = _column(data, a + 8, count, ">u8" if kind == b"co64" else ">u4")
@@ -158,14 +171,23 @@ def read_tracks(media: bytes) -> list[dict]:
             raise ValueError("a sample ends after the file")
         if t["key"] is None:  # no table: every sample is a keyframe
             t["key"] = np.arange(len(t["size"]))
+        if len(t["key"]) and not 0 <= t["key"].min() <= t["key"].max() < len(t["size"]):
+            raise ValueError("a keyframe that is no sample")
         if not t["duration"] and "stts" in t:
             t["duration"] = int((t["stts"][:, 0] * t["stts"][:, 1]).sum())
     return tracks
 
 
-def read_payload(media: bytes) -> bytes:
-    """The samples of the first track, in order; runs of adjoining samples are copied at once."""
-    t = read_tracks(media)[0]
+def first_track(media: bytes) -> dict:
+    tracks = read_tracks(media)
+    if not tracks:
+        raise ValueError("no track")
+    return tracks[0]
+
+
+def read_payload(media: bytes, t: dict | None = None) -> bytes:
+    """The samples of a track, or of the first one, in order; runs of adjoining samples are copied at once."""
+    t = t or first_track(media)
     if not len(t["at"]):
         return b""
     breaks = np.flatnonzero(t["at"][1:] != t["at"][:-1] + t["size"][:-1]) + 1
@@ -191,6 +213,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+MALFORMED = (ValueError, IndexError, struct.error)
 INDEX = "codec string, timescale long, duration double, width int, height int, samples long, keyframes array<struct<start:long,size:long>>, error string"
 
 
@@ -203,11 +226,11 @@ def index_media(df: DataFrame, media_col: str = "media") -> DataFrame:
             found = []
             for media in batch.column(len(rest)):
                 try:
-                    t = read_tracks(media.as_py() or b"")[0]
+                    t = first_track(media.as_py() or b"")
                     keys = [{"start": int(a), "size": int(n)} for a, n in zip(t["at"][t["key"]], t["size"][t["key"]], strict=True)]
                     found.append({"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"] / max(t["timescale"], 1), "width": t["width"], "height": t["height"], "samples": len(t["at"]), "keyframes": keys, "error": None})
-                except (ValueError, IndexError, struct.error) as e:
-                    found.append({"error": str(e) or "no track"})
+                except MALFORMED as e:
+                    found.append({"error": str(e)})
             kind = pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.float64()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))), ("error", pa.string())])
             yield pa.record_batch([*batch.columns[:-1], pa.array(found, kind)], names=[*rest, "media_index"])
 
@@ -216,18 +239,25 @@ def index_media(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) -> payload and media digests and the feature text, all from the stored bytes."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """(doc_id, n_bytes, media) -> payload and media digests and the feature text, all from the stored bytes, and `error`.
+
+    Null media have no digests; malformed media only those of the stored bytes.
+    """
+    fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for media in batch.column(2):
                 stored = media.as_py()
-                payload = read_payload(stored)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(read_tracks(stored)[0])))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
-
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                row = {"media_bytes": None if stored is None else len(stored), "media_sha256": None if stored is None else hashlib.sha256(stored).hexdigest()}
+                try:
+                    track = first_track(stored or b"")
+                    payload = read_payload(stored, track)
+                    row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-FRAME:]), "feature": feature(track)}
+                except MALFORMED as e:
+                    row["error"] = str(e)
+                rows.append(row)
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array([r.get(name) for r in rows], kind) for name, kind in fields)], names=["doc_id", "n_bytes", *(name for name, _ in fields)])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

@@ -262,6 +262,11 @@ def test_media(docs, empty):
         payload = media.pad(raw)
         r = got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stored, frames = media.write_media(payload), len(payload) // 64
+        assert (r.media_bytes, r.media_sha256, r.error) == (len(stored), hashlib.sha256(stored).hexdigest(), None)
+        at = stored.index(b"mdat") + 4  # the payload lies there as it is, a keyframe every 16 frames of 64 bytes
+        assert stored[at:] == payload
+        assert r.feature == f"raw ;8x8;{frames / 25:.2f};{frames};" + ",".join(f"{at + 64 * k}+64" for k in range(0, frames, 16))
     assert media.media_digests(media.store_texts(empty)).count() == 0
     index = media.index_media(media.store_texts(docs)).where("doc_id = 905").first().media_index
     stored = media.write_media(media.pad(next(t for d, t, *_ in rows() if d == 905).encode()))
@@ -288,6 +293,22 @@ def test_media_other_layouts(spark):
     assert all(r.media_index.error for r in media.index_media(bad).collect())
 
 
+def test_media_malformed(spark):
+    """Deep nesting, counts far beyond the file, keyframes that are no samples, nulls: an error in the row, at once."""
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    good = media.write_media(media.pad(b"some text"))
+    patched = lambda kind, at, value: (i := good.index(kind), good[: i + at] + struct.pack(">I", value) + good[i + at + 4 :])[1]
+    files = {1: deep, 2: patched(b"stsz", 12, 4_000_000_000), 3: patched(b"stts", 8, 4_000_000_000), 4: patched(b"stss", 12, 99), 5: patched(b"stss", 12, 0), 6: patched(b"stsc", 16, 4_000_000_000), 7: patched(b"stco", 12, 1 << 31), 8: b"", 9: None, 10: good}
+    df = spark.createDataFrame([(k, 9, None if v is None else bytearray(v)) for k, v in files.items()], "doc_id long, n_bytes long, media binary").withColumn("feature", F.lit(1))
+    got = {r.doc_id: r for r in media.media_digests(df).collect()}
+    assert [k for k, r in got.items() if r.error is None] == [10] and got[10].payload_bytes == 64
+    assert all(r.payload_sha256 is None and r.feature is None for k, r in got.items() if k != 10)
+    assert got[9].media_bytes is None and got[8].media_bytes == 0 and got[1].media_sha256 == hashlib.sha256(deep).hexdigest()
+    assert {r.doc_id for r in media.index_media(df).where("media_index.error is null").collect()} == {10}
+
+
 def test_language(docs, empty):
     texts = {"en": "the cat and the dog are in the house with that man", "fr": "le chat et le chien sont dans la maison avec cet homme"}
     rng = random.Random(2)
@@ -351,16 +372,40 @@ def test_line_dedup(docs, empty):
     assert sum(w[2] for w in want) > 0 and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    """A hundred thousand lines that all go, some repeated, against few; null ids are neither counted nor changed."""
+    lines = [f"a line of many documents {i % 40_000}" for i in range(60_000)]
+    data = [(1, "\n".join(lines)), (2, "\n".join(lines[:50_000])), (3, "\n".join([*lines, "own"])), (None, "\n".join(lines[:5])), (None, None), (4, lines[0].upper() + "\n x")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"))
+    by = {(r.doc_id, r.n_lines): (r.n_dropped, r.text) for r in got.collect()}
+    assert by[1, 60_000] == (60_000, "") and by[2, 50_000] == (50_000, "") and by[None, 5] == (0, data[3][1]) and by[None, 1] == (0, None)
+    assert by[3, 60_001] == (2, "\n".join([x for x in lines if x != lines[0]] + ["own"])) and by[4, 2][0] == 0
+
+
 def test_shard(docs, empty):
     got = shard.shard_documents(docs).toPandas()
     assert len(got) == len(rows()) and set(got.law) == {"bytes"}
-    sizes = {d: len((t or "").encode()) + 1 for d, t, *_ in rows()}
-    assert all(r.size == sizes[r.doc_id] for r in got.itertuples())
+    texts = {d: (t or "").encode() for d, t, *_ in rows()}
+    assert all(r.size == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) for r in got.itertuples())
     assert got.groupby("text_crc32").shard.nunique().max() == 1
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     assert shard.shard_documents(empty).count() == 0
 
 
+def test_shards_are_near_equal_and_hold_a_hot_group(spark):
+    """3,000 texts of 1 to 900 words, a third of the rows one text, null ids and a null text."""
+    rng = random.Random(9)
+    texts = [f"{i} " + "word " * int(900 ** rng.random()) for i in range(2000)]
+    data = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, "the same short text") for i in range(1000)] + [(None, "x"), (None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(7)
+    got = shard.shard_documents(df).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() - loads.min() <= 0.002 * loads.sum() and len(got) == len(data)
+    again = shard.shard_documents(df.repartition(3)).toPandas()
+    key = ["shard", "slot"]
+    assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+
+
 def test_schedule_equals_heap():
     rng = random.Random(4)
     classes = [(s, rng.randint(1, 200), float(s)) for s in rng.sample(range(1, 500), 40)]
