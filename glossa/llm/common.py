@@ -110,15 +110,17 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[str], rank: str, b
     return ranked.drop("__b", "__base")
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, by: str, how: str = "inner", most: int | None = None) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, by: str, how: str = "inner", total: int | None = None, most: int | None = None) -> DataFrame:
     """Join many rows a key with the one row of that key in `one`, gathering no key in one task.
 
     counts(*keys, __n) has the rows of each key in `many`. A key of more than `most` rows (by default a
     thousandth of all, and 100 at least) is dealt over parts by a hash of column `by`, and its row in
-    `one` is repeated for each part; at most all / most such keys are broadcast.
+    `one` is repeated for each part; at most all / most such keys are broadcast. `total`, the rows of
+    `many`, is counted where it is not known.
     """
     if most is None:
-        total = counts.agg(F.sum("__n")).first()[0] or 0
+        if total is None:
+            total = counts.agg(F.sum("__n")).first()[0] or 0
         most = max(100, total // 1000)
     heavy = F.broadcast(counts.where(F.col("__n") > most).select(*keys, F.ceil(F.col("__n") / most).alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))

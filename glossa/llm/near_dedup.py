@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialize, spread_join
+from glossa.llm.common import materialize, release, spread_join
 from glossa.llm.words import mix, shingle_sets, text_batches
 
 M, ROWS, B, RATE = 128, 4, 1.001, 20.0
@@ -142,17 +142,20 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "dedup-edges")
     degrees = materialize(_row_counts(edges, "b"), "dedup-degrees")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "dedup-labels")
+    held = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "dedup-labels")
+    labels, n_edges, n_nodes = held, edges.count(), held.count()
     while True:
-        told = spread_join(edges, labels.select(F.col("node").alias("b"), "label"), ["b"], degrees, "a")
+        told = spread_join(edges, labels.select(F.col("node").alias("b"), "label"), ["b"], degrees, "a", total=n_edges)
         seen = told.select(F.col("a").alias("node"), "label").union(labels)
         low = materialize(seen.groupBy("node").agg(F.min("label").alias("low")), "dedup-low")
         hop = labels.select(F.col("node").alias("low"), F.col("label").alias("__next"))
-        moved = spread_join(low, hop, ["low"], _row_counts(low, "low"), "node").select("node", F.least("low", "__next").alias("label"))
+        moved = spread_join(low, hop, ["low"], _row_counts(low, "low"), "node", total=n_nodes).select("node", F.least("low", "__next").alias("label"))
         old = labels.select("node", F.col("label").alias("__old"))
         moved = materialize(moved.join(old, "node"), "dedup-labels")
-        labels = moved.select("node", "label")
+        release(low, held)
+        labels, held = moved.select("node", "label"), moved
         if not moved.where(F.col("label") != F.col("__old")).limit(1).count():
+            release(edges, degrees)
             return labels
 
 
@@ -297,8 +300,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(confirm(pairs, texts, percent).union(same_id), "dedup-links")
     labels = components(links)
     bridges = materialize(bridge_labels(shared, labels, nodes, percent), "dedup-bridges")
-    links = materialize(links.union(exact_bridges(bridges, labels, nodes, texts, percent)), "dedup-links")
-    labels = components(links)
+    if bridges.limit(1).count():
+        joined = materialize(links.union(exact_bridges(bridges, labels, nodes, texts, percent)), "dedup-links")
+        labels = components(joined)
+        release(joined)
+    release(firsts, nodes, buckets, shared, star, pairs, texts, links, bridges)
     known = members.select("doc_id", F.col("rep").alias("node")).distinct()
     known = spread_join(known, labels, ["node"], _row_counts(members.select(F.col("rep").alias("node")), "node"), "doc_id", "left")
     known = known.groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("__component"))
