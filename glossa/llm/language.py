@@ -195,9 +195,9 @@ def keep_known_languages(docs: DataFrame, least: float = 1e-6, folds: int = 5) -
     teaches = crc_mod_col(F.col("doc_id"), folds) != 0
     prototypes = learn(docs, "doc_id", "text", "lang", teaches)
     bounds = least_scores(docs.where(teaches & F.col("lang").isNotNull()), prototypes)
-    known, size = [c for c in docs.columns if c not in ("lang_pred", "score")], "__glossa_size"
-    judged = predict(docs, prototypes, keep=known, size=size)
+    size, inner = "__glossa_size", [f"__glossa_{i}" for i in range(len(docs.columns))]  # the columns may be called lang_pred or score
+    judged = predict(docs.toDF(*inner), prototypes, text_col=inner[docs.columns.index("text")], keep=inner, size=size)
     bound = F.lit(least)
     for k in sorted(bounds):
         bound = F.when(_size_class(F.col(size)) >= k, F.lit(max(least, bounds[k]))).otherwise(bound)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= bound)).select(*known)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= bound)).select(*inner).toDF(*docs.columns)

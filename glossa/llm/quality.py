@@ -16,10 +16,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import crc_mod_col, materialize
+from glossa.llm.common import crc_mod_col, materialize, release
 from glossa.llm.words import hash_words, text_batches
 
 FEATURES = [
@@ -114,11 +114,12 @@ class AdditiveModel:
         self.coarse: list[np.ndarray] = []
         self.base = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> AdditiveModel:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> AdditiveModel:
         bins, coarse, rounds, n_pairs, pair_rounds, rate, leaves = self.options
         if not len(y):
             return self
-        share = float(y.mean())
+        w = np.ones(len(y)) if weight is None else weight
+        share = float(np.average(y, weights=w))
         if not 0 < share < 1:
             self.base = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
             return self
@@ -130,19 +131,19 @@ class AdditiveModel:
         for _ in range(rounds):
             for f, b in enumerate(at):
                 p = 1 / (1 + np.exp(-logit))
-                step = rate * _tree(np.bincount(b, y - p, len(self.tables[f])), np.bincount(b, p * (1 - p), len(self.tables[f])), leaves)
+                step = rate * _tree(np.bincount(b, w * (y - p), len(self.tables[f])), np.bincount(b, w * p * (1 - p), len(self.tables[f])), leaves)
                 self.tables[f] += step
                 logit += step[b]
         self.coarse = [np.arange(len(t)) * coarse // len(t) for t in self.tables]
         low = [c[b] for c, b in zip(self.coarse, at, strict=True)]
         p = 1 / (1 + np.exp(-logit))
         grid = lambda i, j, v: np.bincount(low[i] * coarse + low[j], v, coarse * coarse).reshape(coarse, coarse)
-        gains = sorted(((_table_step(grid(i, j, y - p), grid(i, j, p * (1 - p)))[0], i, j) for i, j in combinations(range(len(at)), 2)), reverse=True)
+        gains = sorted(((_table_step(grid(i, j, w * (y - p)), grid(i, j, w * p * (1 - p)))[0], i, j) for i, j in combinations(range(len(at)), 2)), reverse=True)
         self.pairs = [(i, j, np.zeros((coarse, coarse))) for _, i, j in gains[:n_pairs]]
         for _ in range(pair_rounds):
             for i, j, values in self.pairs:
                 p = 1 / (1 + np.exp(-logit))
-                step = rate * _table_step(grid(i, j, y - p), grid(i, j, p * (1 - p)))[1]
+                step = rate * _table_step(grid(i, j, w * (y - p)), grid(i, j, w * p * (1 - p)))[1]
                 values += step
                 logit += step[low[i], low[j]]
         return self
@@ -158,14 +159,25 @@ class AdditiveModel:
 
 
 def fit(features: DataFrame, labels: DataFrame, label_col: str = "quality", most_rows: int = 100_000, folds: int = 4, held: int = 2, **options) -> AdditiveModel:
-    """Fit on labelled rows outside the held-out fold, of which a hash takes about `most_rows`, the stated bound of the sample."""
-    usable = labels.where((crc_mod_col(F.col("doc_id"), folds) != held) & F.col(label_col).isin(0, 1)).select("doc_id", F.col(label_col).cast("int").alias("y"))
-    total = usable.count()
-    share = min(1.0, most_rows / max(total, 1))
-    sample = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = sample.join(features, "doc_id").orderBy("doc_id", "y").select("features", "y").toPandas()
+    """Fit on labelled rows outside the held-out fold, of which a hash takes about `most_rows`, the stated bound of the sample.
+
+    Equal rows, of labels and of labelled documents, are one row that weighs their number, so the bound holds
+    where ids repeat. The sampled labels are broadcast; features are not moved before they are few.
+    """
+    usable = labels.where((crc_mod_col(F.col("doc_id"), folds) != held) & F.col(label_col).isin(0, 1)).groupBy("doc_id", F.col(label_col).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    sample = usable.where(_share(most_rows, usable.count(), F.col("doc_id")))
+    found = features.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "features").agg(F.sum("n").alias("n"))
+    found = materialize(found, "quality-sample")
+    rows = found.where(_share(most_rows, found.count(), F.col("doc_id"), F.col("y"), F.col("features"))).toPandas()
+    release(found)
     x = np.stack(rows.features.to_list()) if len(rows) else np.empty((0, len(FEATURES)))
-    return AdditiveModel(**options).fit(x, rows.y.to_numpy(float))
+    order = np.lexsort((*x.T[::-1], rows.y, rows.doc_id))
+    return AdditiveModel(**options).fit(x[order], rows.y.to_numpy(float)[order], rows.n.to_numpy(float)[order])
+
+
+def _share(most: int, total: int, *columns: Column) -> Column:
+    """A hash condition that keeps about `most` of `total` rows, all where there are no more."""
+    return F.lit(True) if total <= most else F.pmod(F.xxhash64(*columns, F.lit("fit")), F.lit(1 << 20)) < int(most / total * (1 << 20))
 
 
 def quality_table(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:

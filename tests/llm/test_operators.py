@@ -326,6 +326,45 @@ def test_language(docs, empty):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {d for d, *_ in data[:300]}
 
 
+def test_language_equals_plain_profiles(spark):
+    """Every trigram of every text bound and added one by one; a text with more distinct trigrams than a worker keeps, odd and clashing columns."""
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(2, 7)))
+    letters = {"en": "abcdefgh", "fr": "aéèlmnop", "ja": "".join(map(chr, range(0x4E00, 0x4E00 + 40)))}
+    data = [(i, " ".join(word(letters[k]) for _ in range(rng.randint(1, 30))), k) for i in range(90) for k in [rng.choice(list(letters))]]
+    data += [(200, "".join(rng.choices([chr(0x4E00 + i) for i in range(300)], k=36_000)), "ja"), (201, None, "en"), (202, "12 ...", "fr"), (203, "ab cd", None), (204, data[0][1], data[0][2]), (None, data[1][1], "fr"), (205, "ÉA b", None)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string").select("*", F.lit(1).alias("lang_pred"), F.lit("x").alias("score"), F.lit(None).alias("size"))
+
+    def bundle(text):
+        kept = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        points = [0, *(0 if c == " " else ord(c) for c in " ".join(kept.split())), 0]
+        total = np.zeros(language.DIM)
+        if len(points) > 2:
+            vector = {c: np.random.default_rng(c).integers(0, 2, language.DIM, dtype=np.int8) * 2.0 - 1 for c in set(points)}
+            for a, b, c in zip(points, points[1:], points[2:], strict=False):
+                total += np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c]
+        return total
+
+    bundles = [bundle(t) for _, t, _ in data]
+    taught = [zlib.crc32(b"" if d is None else str(d).encode()) % 5 != 0 and k is not None for d, _, k in data]
+    langs = sorted({k for _, _, k in data if k})
+    unit = np.stack([(v := sum(b for b, t, (_, _, k) in zip(bundles, taught, data, strict=True) if t and k == lang)) / np.linalg.norm(v) for lang in langs])
+    mean = unit.mean(axis=0) / np.linalg.norm(unit.mean(axis=0))
+    own = unit - np.outer(unit @ mean, mean)
+    got = {(r.doc_id, r.held_out): r for r in language.language_table(table).collect()}
+    assert len(got) == len(data)
+    for (d, t, _), b in zip(data, bundles, strict=True):
+        r = got[d, zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 0]
+        if not b.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        b = b - (b @ mean) * mean
+        cosine = own @ b / np.linalg.norm(own, axis=1) / np.linalg.norm(b)
+        assert r.lang_pred == langs[int(cosine.argmax())] and r.score == pytest.approx(max(0, cosine.max()), abs=1e-4), d
+    kept = language.keep_known_languages(table)
+    assert kept.columns == table.columns and {(r.lang_pred, r["score"]) for r in kept.collect()} == {(1, "x")}
+
+
 def test_language_stage_drops_noise_and_unlearned_languages(spark):
     texts = {"en": "the cat and the dog are in the house with that man", "fr": "le chat et le chien sont dans la maison avec cet homme"}
     other = "кот и собака живут в большом доме вместе с этим человеком и детьми"
@@ -529,6 +568,82 @@ def test_quality(docs, empty):
     assert quality.quality_table(empty, none).count() == 0
 
 
+def plain_features(text):
+    """The features of quality.measure by counting characters and words one by one."""
+    b, w = text.encode(), tokens(text)
+    if not b:
+        return [0.0] * len(quality.FEATURES)
+    n, k, share = len(b), max(len(w), 1), lambda test: sum(map(test, b)) / len(b)
+    each = sorted(Counter(w).values()) or [0]
+    same = sum(x == y for x, y in zip(w, w[1:], strict=False))
+    word = lambda c: chr(c).isalnum() and c < 128 or c >= 128
+    return [
+        np.log1p(n), np.log1p(len(w)), n / k, share(lambda c: c >= 128 or chr(c).isalpha()), share(lambda c: c < 128 and chr(c).isdigit()), share(lambda c: 65 <= c <= 90),
+        share(lambda c: 32 < c < 127 and not word(c) and c not in b".,;:!?"), sum(c in b".,;:!?" for c in b) / k, sum(c in b"|/\\" for c in b) / k, share(lambda c: c >= 128), b.count(10) / k,
+        -sum(c / n * np.log2(c / n) for c in Counter(b).values()), len(each) / k, each[-1] / k, same / (len(w) - 1) if len(w) > 1 else 0, share(lambda c: c in b"<>[]{}()="), sum(each[-10:]) / k, same,
+    ]
+
+
+def test_quality_features_equal_plain_ones():
+    texts = [t or "" for _, t, *_ in rows() if len(t or "") < 10_000] + ["a|b/c\\ <x> {y}=1; DONE!!\n\nüber über", "1", "  "]
+    assert np.allclose(quality.measure([t.encode() for t in texts]), [plain_features(t) for t in texts], rtol=1e-4, atol=1e-6)
+
+
+def test_quality_scores_equal_a_plain_fit(spark):
+    """Cyclic boosting redone with loops over rows and all cuts; scores are sums of looked-up values; equal labels weigh their number."""
+    rng = random.Random(12)
+    data = [(i, " ".join(rng.choice(["good", "plain", "words,", "###", "ab|c"]) for _ in range(rng.randint(1, 25)))) for i in range(60)]
+    labels = [(i, int("###" not in t.split()[:4])) for i, t in data[:50]] + [(3, 0), (3, 0), (4, None)]
+    options = {"bins": 6, "coarse": 3, "rounds": 3, "pairs": 2, "pair_rounds": 2, "leaves": 3}
+    got = {r.doc_id: r.score for r in quality.quality_table(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), **options).collect()}
+    text, pairs = dict(data), [(d, y) for d, y in labels if y is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    x = np.float32([plain_features(text[d]) for d, _ in sorted(set(pairs))])
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 7)[1:-1])) for f in range(x.shape[1])]
+    bins_of = lambda t: [sum(float(c) <= v for c in cuts[f]) for f, v in enumerate(np.float32(plain_features(t)))]
+    taught = [(bins_of(text[d]), y) for d, y in pairs]
+    share = sum(y for _, y in taught) / len(taught)
+    tables, logit = [[0.0] * (len(c) + 1) for c in cuts], [float(np.log(share / (1 - share)))] * len(taught)
+    base, sums = logit[0], lambda part: (sum(g for g, _ in part), sum(h for _, h in part))
+    worth = lambda part: sums(part)[0] ** 2 / (sums(part)[1] + 1)
+    newton = lambda part: sums(part)[0] / (sums(part)[1] + 1)
+    slopes = lambda: [(y - (p := 1 / (1 + np.exp(-z))), p * (1 - p)) for z, (_, y) in zip(logit, taught, strict=True)]
+    for _ in range(3):
+        for f, table in enumerate(tables):
+            gh = slopes()
+            inside = lambda a, b: [s for s, (at, _) in zip(gh, taught, strict=True) if a <= at[f] < b]  # noqa: B023, E731
+            edges = [0, len(table)]
+            for _ in range(2):
+                gains = [(worth(inside(a, c)) + worth(inside(c, b)) - worth(inside(a, b)), c) for a, b in zip(edges, edges[1:], strict=False) for c in range(a + 1, b)]
+                best = max(gains, key=lambda g: (round(g[0], 12), -g[1]), default=(0, 0))
+                if best[0] > 1e-9:
+                    edges = sorted([*edges, best[1]])
+            step = [0.1 * newton(inside(a, b)) for a, b in zip(edges, edges[1:], strict=False) for _ in range(a, b)]
+            tables[f] = [t + s for t, s in zip(table, step, strict=True)]
+            logit = [z + step[at[f]] for z, (at, _) in zip(logit, taught, strict=True)]
+    coarse = lambda f, b: b * 3 // len(tables[f])
+
+    def quarter_step(i, j):
+        gh, options = slopes(), []
+        for r in (1, 2):
+            for c in (1, 2):
+                parts = {(a, b): [s for s, (at, _) in zip(gh, taught, strict=True) if ((coarse(i, at[i]) >= r), (coarse(j, at[j]) >= c)) == (a, b)] for a in (False, True) for b in (False, True)}
+                options.append((round(sum(map(worth, parts.values())), 12), -r, -c, {k: newton(v) for k, v in parts.items()}))
+        gain, r, c, values = max(options, key=lambda o: o[:3])
+        return gain, [[0.1 * values[a >= -r, b >= -c] for b in range(3)] for a in range(3)]
+
+    ranked = sorted(((quarter_step(i, j)[0], i, j) for i in range(len(tables)) for j in range(i + 1, len(tables))), reverse=True)[:2]
+    grids = {(i, j): np.zeros((3, 3)) for _, i, j in ranked}
+    for _ in range(2):
+        for (i, j), grid in grids.items():
+            step = np.array(quarter_step(i, j)[1])
+            grid += step
+            logit = [z + step[coarse(i, at[i]), coarse(j, at[j])] for z, (at, _) in zip(logit, taught, strict=True)]
+    for d, t in data:
+        at = bins_of(t)
+        z = base + sum(table[b] for table, b in zip(tables, at, strict=True)) + sum(g[coarse(i, at[i]), coarse(j, at[j])] for (i, j), g in grids.items())
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6), d
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 4))
