@@ -42,7 +42,7 @@ from glossa.llm.words import hash_words, mix, text_batches
 MU = 1000.0
 THIRD = 0.002  # of 0.0005 to 0.5 the weight with the highest held-out score at sf0.1
 STEPS = 4096
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 PARTS = 8  # of a shard, by hash; its task works on one at a time
 HOT_BYTES = 48  # a word of six bytes, an eighth of a shard
 BLOCK_TOKENS, BLOCK_DOCS = 500_000, 60_000
