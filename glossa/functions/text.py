@@ -53,7 +53,7 @@ def split_lines(text: Column) -> Column:
 
 def count_chars(text: Column, contents: str) -> Column:
     """How many characters of a character class a text has."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{contents}]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{contents}]++", ""))
 
 
 def count_substring(text: Column, token: str) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.operators import metrics
-from glossa.operators.model import LinearModel, first_max, logits
+from glossa.operators.features import bound
+from glossa.operators.model import LinearModel, add_at, constant, first_max, logits
 from glossa.operators.sample import hash_order, numbered
 
 
@@ -26,17 +27,32 @@ def grid(total: int, steps: int) -> list[int]:
 
 
 def _names(model: LinearModel, place: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, model.classes)), place + 1)
+    return F.get(constant(model.classes, "array<string>"), place)
 
 
-def _first(places: Column, n: int) -> Column:
-    return F.filter(places, lambda i: i < n)
+def prefix_places(model: LinearModel, active: Column, ns: list[int]) -> Column:
+    """The class number predicted from the first n features, for each n in order, in one pass: scores grow from one n to the next."""
+    rows, start = constant(model.coef.T.tolist(), "array<array<double>>"), constant(model.intercept.tolist(), "array<double>")
+    spans = constant([[a, b] for a, b in zip([0, *ns], ns, strict=False)], "array<array<int>>")
+
+    def walk(act: Column) -> Column:
+        grow = lambda state, span: F.struct(
+            add_at(F.filter(act, lambda i: (i >= span[0]) & (i < span[1])), rows, state["scores"]).alias("scores"),
+            F.concat(state["places"], F.array(first_max(state["scores"]))).alias("places"),
+        )
+        # Each step adds the place of the scores before it, so the first place, of no features, goes.
+        end = lambda state: F.slice(F.concat(state["places"], F.array(first_max(state["scores"]))), 2, len(ns))
+        return F.aggregate(spans, F.struct(start.alias("scores"), F.array().cast("array<int>").alias("places")), grow, end)
+
+    return bound(active, walk)
 
 
 def prefix_predictions(df: DataFrame, model: LinearModel, ns: list[int], label_col: str, active_col: str = "active") -> DataFrame:
     """(top, label, pred) for every row and every number of features: the prediction from the first `top` features."""
-    per_n = [F.struct(F.lit(n).alias("top"), _names(model, first_max(logits(model, _first(F.col(active_col), n)))).alias("pred")) for n in ns]
-    return df.select(F.col(label_col).alias("label"), F.explode(F.array(*per_n)).alias("x")).select("x.top", "label", "x.pred")
+    ns = sorted(ns)
+    places = df.select(F.col(label_col).alias("label"), prefix_places(model, F.col(active_col), ns).alias("places"))
+    rows = places.select("label", F.posexplode("places").alias("k", "place"))
+    return rows.select(F.get(constant(ns, "array<int>"), F.col("k")).alias("top"), "label", F.get(constant(model.classes, "array<string>"), F.col("place")).alias("pred"))
 
 
 def f1_curve(df: DataFrame, model: LinearModel, label_col: str, steps: int = 50, decimals: int | None = 1, ns: list[int] | None = None) -> DataFrame:
@@ -63,7 +79,7 @@ class IdealSize(NamedTuple):
     f1: float
 
 
-def ideal_size(df: DataFrame, model: LinearModel, label_col: str, f1_delta: float = 0.01, decimals: int | None = 1, compat: bool = False, block: int = 16) -> IdealSize:
+def ideal_size(df: DataFrame, model: LinearModel, label_col: str, f1_delta: float = 0.01, decimals: int | None = 1, compat: bool = False, block: int = 64) -> IdealSize:
     """The fewest features, scanning down from all, before macro F1 falls more than f1_delta; sizes are scored a block at a time.
 
     With compat, f1 is that of the last size looked at, even if it fell too far, and sizes whose last

@@ -103,7 +103,7 @@ def digit_heavy(m: Column) -> Column:
 def split_snippets(df: DataFrame, limit: int = 10, id_col: str = "Id", text_col: str = "Snippet", label_col: str = "Language", keep_junk: bool = False) -> DataFrame:
     """(FileId, Language, chunk_id, Snippet) of all chunks that aren't junk; rows with a null text are left out."""
     out = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("FileId"), F.col(label_col).alias("Language"), F.posexplode(chunks(F.col(text_col), limit)).alias("chunk_id", "Snippet"))
-    return out if keep_junk else out.where(~is_junk(chunk_metrics(F.col("Snippet"))))
+    return out if keep_junk else out.where(~F.exists(F.array(chunk_metrics(F.col("Snippet"))), is_junk))  # the counts once, not for each bound
 
 
 def rebalance(df: DataFrame, label_col: str = "Language", id_cols: tuple[str, ...] = ("FileId", "chunk_id"), most: float = 2.0, seed: str = "0") -> DataFrame:

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
+from glossa.operators.sample import prefix_sums
 
 COLUMNS = ["Substring", "BestLanguage", "BestFreq", "RestMean", "Ratio", "Gini", "LangCount", "RestCount", "TfIdf", "TfIdfRatio"]
 
 
-def mine_tokens(df: DataFrame, id_col: str = "FileId", text_col: str = "Snippet", label_col: str = "Language", min_count: int = 3) -> DataFrame:
+def mine_tokens(df: DataFrame, text_col: str = "Snippet", label_col: str = "Language", min_count: int = 3) -> DataFrame:
     """One row per token found at least `min_count` times; documents without any token don't count. Null labels or texts raise."""
     checked = F.when(F.col(label_col).isNull() | F.col(text_col).isNull(), F.raise_error(F.lit("null label or text"))).otherwise(F.col(label_col))
-    docs = df.select(F.col(id_col).alias("id"), checked.cast("string").alias("lang"), F.length(text_col).alias("chars"), T.word_tokens(F.col(text_col)).alias("words"))
+    docs = df.select(checked.cast("string").alias("lang"), F.length(text_col).alias("chars"), T.word_tokens(F.col(text_col)).alias("words"))
     docs = docs.where(F.size("words") > 0)
     totals = docs.groupBy("lang").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("docs"))
-    per_doc = docs.select("id", "lang", F.size("words").alias("size"), F.explode("words").alias("token")).groupBy("id", "lang", "size", "token").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_doc.groupBy("token", "lang").agg(F.sum("n").alias("n"), F.sum(F.col("n") / F.col("size")).alias("tf"), F.count(F.lit(1)).alias("df"))
+    # A row is a document, so a token's document frequency comes from the row's distinct tokens and nothing is counted by document.
+    share = 1 / F.size("words")
+    each = F.transform("words", lambda w: F.struct(w.alias("token"), F.lit(1).alias("n"), share.alias("tf"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("token"), F.lit(0).alias("n"), F.lit(0.0).alias("tf"), F.lit(1).alias("df")))
+    tokens = docs.select("lang", F.inline(F.concat(each, once)))
+    counts = tokens.groupBy("token", "lang").agg(F.sum("n").alias("n"), F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     joined = counts.join(totals, "lang")
     stats = joined.groupBy("token").agg(
         F.sum("n").alias("total"), F.sum("df").alias("df"),
@@ -55,6 +60,6 @@ def gini_of(df: DataFrame, value_col: str) -> DataFrame:
     A value that occurs c times after a running sum of b adds c * b + v * c * (c + 1) / 2 to the sum of running sums.
     """
     values = df.groupBy(F.col(value_col).alias("v")).agg(F.count(F.lit(1)).alias("c")).where(F.col("v").isNotNull())
-    before = F.coalesce(F.sum(F.col("v") * F.col("c")).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    sums = values.select("v", "c", before.alias("b")).agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("t"), F.sum(F.col("c") * F.col("b") + F.col("v") * F.col("c") * (F.col("c") + 1) / 2).alias("s"))
+    before = prefix_sums(values.withColumn("vc", F.col("v") * F.col("c")), "v", ["vc"])
+    sums = before.agg(F.sum("c").alias("n"), F.sum("vc").alias("t"), F.sum(F.col("c") * F.col("__before_vc") + F.col("v") * F.col("c") * (F.col("c") + 1) / 2).alias("s"))
     return sums.select(F.when(F.col("t") != 0, (F.col("n") + 1 - 2 * F.col("s") / F.col("t")) / F.col("n")).otherwise(F.lit(0.0)).alias("gini"))

@@ -69,15 +69,24 @@ def compact_values(values: np.ndarray, decimals: int) -> list:
     return [small(v) for v in rounded] if rounded.ndim == 1 else [[small(v) for v in row] for row in rounded]
 
 
+def constant(values, kind: str) -> Column:
+    """Nested lists as one literal: a column for each number would take the driver minutes for large models."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def add_at(places: Column, rows: Column, start: Column) -> Column:
+    """start plus the rows at the places, element by element; places without a row add nothing. Places are computed once."""
+    return F.aggregate(places, start, lambda a, i: F.coalesce(F.zip_with(a, F.get(rows, i), lambda x, y: x + y), a))
+
+
 def logits(model: LinearModel, active: Column) -> Column:
     """Intercept plus the weights of the active features, for every class."""
-    rows = F.array(*[F.struct(F.lit(float(b)).alias("b"), F.array(*[F.lit(float(w)) for w in row]).cast("array<double>").alias("w")) for b, row in zip(model.intercept, model.coef, strict=True)])
-    return F.transform(rows, lambda c: F.aggregate(active, c["b"], lambda a, i: a + F.coalesce(F.get(c["w"], i), F.lit(0.0))))
+    return add_at(active, constant(model.coef.T.tolist(), "array<array<double>>"), constant(model.intercept.tolist(), "array<double>"))
 
 
 def softmax(scores: Column) -> Column:
-    e = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    e = F.transform(F.array(F.array_max(scores)), lambda m: F.transform(scores, lambda s: F.exp(s - m)))[0]
+    return F.transform(F.array(e), lambda v: F.transform(F.array(F.aggregate(v, F.lit(0.0), lambda a, y: a + y)), lambda t: F.transform(v, lambda x: x / t))[0])[0]
 
 
 def first_max(scores: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.sources.scratch import materialize
+
 
 def hash_order(id_col: str, seed: str) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(seed)).cast("binary"))
@@ -24,7 +26,7 @@ def numbered(df: DataFrame, by: list[str], order: Column, ties: list[str]) -> Da
     same = F.col("__b") == F.col("__bb")
     for k, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__by{k}"))
-    within = Window.partitionBy(*by, "__b").orderBy("__h", *ties)
+    within = Window.partitionBy(*by, "__b").orderBy("__h", *ties)  # ties: further columns that tell equal hashes apart
     return keyed.join(base, same).withColumn("__i", F.col("__before") + F.row_number().over(within)).select(*df.columns, "__i", "__n")
 
 
@@ -50,15 +52,37 @@ def stratified_split(df: DataFrame, test_share: float = 0.2, label_col: str = "L
     return joined.withColumn("split", F.when(F.col("__i") <= F.col("__quota"), "test").otherwise("train")).select(*df.columns, "split")
 
 
+def prefix_sums(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Add __before_<c> for each column: its sum over the rows of smaller keys, in as many range partitions as there are shuffle partitions.
+
+    Keys must be distinct and non-null. The partitioning is written out, as its bounds differ from one run to the next.
+    """
+    parts = materialize(rows.repartitionByRange(key).withColumn("__p", F.spark_partition_id()), "prefix-sums")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("__p").agg(*[F.sum(c).alias(c) for c in columns])
+    base = totals.select("__p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__base_{c}") for c in columns])
+    within = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    added = [(F.col(f"__base_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"__before_{c}") for c in columns]
+    return parts.join(base, "__p").select(*rows.columns, *added)
+
+
 def systematic_sample(df: DataFrame, n: int, order_col: str) -> DataFrame:
-    """Every max(1, floor(total / n))-th row in order, n at most; numbered by range partitions, not in one task."""
-    total = df.count()
+    """Every max(1, floor(total / n))-th row in order, n at most; rows of equal order value are in hash order, null ones left out.
+
+    Only the distinct order values are sorted, with their counts; rows come in by the at most n values that hold a picked row.
+    """
+    keyed = df.where(F.col(order_col).isNotNull())
+    counts = keyed.groupBy(F.col(order_col).alias("__key")).agg(F.count(F.lit(1)).alias("__c"))
+    placed = prefix_sums(counts, "__key", ["__c"])
+    total = placed.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
     step = max(1, total // n)
-    parts = df.repartitionByRange(max(1, min(200, total // 100_000 + 1)), order_col).sortWithinPartitions(order_col).withColumn("__p", F.spark_partition_id())
-    sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    base = sizes.select("__p", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    numbered = parts.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(order_col)) - 1).join(F.broadcast(base), "__p").withColumn("__i", F.col("__i") + F.col("__b"))
-    return numbered.where((F.col("__i") % step == 0) & (F.col("__i") < step * n)).drop("__p", "__b", "__i")
+    first = F.col("__before___c")
+    hit = F.ceil(first / step) * step  # the first picked place from here on
+    picked = placed.where((hit < first + F.col("__c")) & (hit < step * n)).select("__key", first.alias("__first"))
+    found = keyed.join(picked, F.col(order_col) == F.col("__key"))
+    ranked = numbered(found, ["__key"], F.md5(F.to_json(F.struct(*df.columns)).cast("binary")), [])
+    place = F.col("__first") + F.col("__i") - 1
+    return ranked.where((place % step == 0) & (place < step * n)).select(*df.columns)
 
 
 def skip_take(df: DataFrame, skip: int, take: int, label_col: str, id_col: str) -> DataFrame:

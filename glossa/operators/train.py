@@ -7,11 +7,11 @@ import warnings
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.features import presence
-from glossa.operators.model import LinearModel
+from glossa.operators.features import indicator_vectors, presence
+from glossa.operators.model import LinearModel, add_at, constant
 
 
 def class_labels(df: DataFrame, label_col: str) -> list[str]:
@@ -20,13 +20,16 @@ def class_labels(df: DataFrame, label_col: str) -> list[str]:
 
 
 def training_rows(df: DataFrame, classes: list[str], size: int, label_col: str, active_col: str = "active", shift: float = 0.0) -> DataFrame:
-    """features (vector), y (class number) and w (balanced weight n / (k * n of the class))."""
-    y = F.array_position(F.array(*map(F.lit, classes)), F.col(label_col)) - 1
-    x = F.transform(presence(active_col, size), lambda b: b.cast("double") - shift)
-    rows = df.select(array_to_vector(x).alias("features"), y.cast("double").alias("y"))
-    counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
-    return rows.join(F.broadcast(counts.select("y", (F.lit(float(total)) / (len(classes) * F.col("n"))).alias("w"))), "y")
+    """features (vector, sparse unless shifted), y (class number) and w (balanced weight n / (k * n of the class))."""
+    y = (F.array_position(constant(classes, "array<string>"), F.col(label_col)) - 1).cast("double")
+    if shift:
+        x = F.transform(presence(active_col, size), lambda b: b.cast("double") - shift)
+        rows = df.select(array_to_vector(x).alias("features"), y.alias("y"))
+    else:
+        rows = indicator_vectors(df.select(active_col, y.alias("y")), active_col, size).select("features", "y")
+    counts = df.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n"))  # a row for each class
+    weights = counts.select("y", (F.sum("n").over(Window.partitionBy()) / (len(classes) * F.col("n"))).alias("w"))
+    return rows.join(F.broadcast(weights), "y")
 
 
 def train_logistic(df: DataFrame, tokens: list[str], label_col: str = "Language", c: float = 1.0, max_iter: int = 1000, intercept: bool = True, shift: float = 0.0) -> LinearModel:
@@ -52,21 +55,17 @@ def centroids(df: DataFrame, size: int, label_col: str = "Language", active_col:
     return hits.join(n, "label").select("label", "idx", (F.col("hits") / F.col("n")).alias("mean"))
 
 
-def _sum_at(places: Column, weights: Column) -> Column:
-    return F.aggregate(places, F.lit(0.0), lambda a, i: a + F.coalesce(F.get(weights, i), F.lit(0.0)))
-
-
 def nearest_centroid(df: DataFrame, means: DataFrame, id_col: str, active_col: str = "active") -> DataFrame:
     """(id, pred): the class with the least squared distance, the first on ties. Classes times features must be small."""
-    table = means.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("idx", "mean"))).alias("m"), F.sum(F.col("mean") * F.col("mean")).alias("norm"))
-    rows = [(r.label, float(r.norm), {int(k): float(v) for k, v in r.m.items()}) for r in table.collect()]
-    active = F.col(active_col)
-    distances = []
-    for label, norm, m in sorted(rows, key=lambda r: r[0]):
-        weights = F.array(*[F.lit(m.get(i, 0.0)) for i in range(max(m, default=0) + 1)])
-        dot = _sum_at(active, weights)
-        distances.append(F.struct(F.round(F.size(active) + norm - 2 * dot, 9).alias("d"), F.lit(label).alias("label")))
-    return df.select(id_col, F.array_min(F.array(*distances))["label"].alias("pred"))
+    table = sorted(((r.label, r.idx, r["mean"]) for r in means.collect()), key=lambda r: (r[0], r[1]))
+    labels = sorted({label for label, _, _ in table})
+    weights = np.zeros((max((i for _, i, _ in table), default=0) + 1, len(labels)))
+    for label, i, mean in table:
+        weights[i, labels.index(label)] = mean
+    dots = add_at(F.col(active_col), constant(weights.tolist(), "array<array<double>>"), constant([0.0] * len(labels), "array<double>"))
+    norms, names = constant((weights**2).sum(axis=0).tolist(), "array<double>"), constant(labels, "array<string>")
+    distances = F.zip_with(F.zip_with(dots, norms, lambda dot, norm: F.round(F.size(active_col) + norm - 2 * dot, 9)), names, lambda d, name: F.struct(d.alias("d"), name.alias("label")))
+    return df.select(id_col, F.array_min(distances)["label"].alias("pred"))
 
 
 def scaler(df: DataFrame, vector_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +79,7 @@ def scaler(df: DataFrame, vector_col: str, size: int) -> tuple[np.ndarray, np.nd
 
 
 def scaled(vector_col: str, mean: np.ndarray, std: np.ndarray) -> Column:
-    m, s = (F.array(*[F.lit(float(v)) for v in a]) for a in (mean, std))
+    m, s = (constant(a.tolist(), "array<double>") for a in (mean, std))
     return F.zip_with(F.zip_with(vector_col, m, lambda x, y: x - y), s, lambda x, y: x / y)
 
 
