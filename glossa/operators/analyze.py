@@ -67,7 +67,8 @@ def f1_curve(df: DataFrame, model: LinearModel, label_col: str, steps: int = 50,
 def rounding_curve(df: DataFrame, model: LinearModel, label_col: str, max_decimals: int = 17, n_features: int | None = None, active_col: str = "active") -> DataFrame:
     """(Decimals, F1, SizeKb, ByteLength) by decimals kept."""
     models = [model.first(n_features).rounded(d) for d in range(max_decimals + 1)]
-    per_d = [F.struct(F.lit(d).alias("d"), _names(m, first_max(logits(m, F.col(active_col)))).alias("pred")) for d, m in enumerate(models)]
+    near = lambda scores: F.transform(scores, lambda s: F.round(s, 9))  # noqa: E731  sums of decimals that are equal on paper are ties
+    per_d = [F.struct(F.lit(d).alias("d"), _names(m, first_max(near(logits(m, F.col(active_col))))).alias("pred")) for d, m in enumerate(models)]
     preds = df.select(F.col(label_col).alias("label"), F.explode(F.array(*per_d)).alias("x")).select("x.d", "label", "x.pred")
     f1 = metrics.macro_f1(preds, "label", "pred", ("d",))
     sizes = df.sparkSession.createDataFrame([(d, m.size_kb(), len(json.dumps(m.to_dict()))) for d, m in enumerate(models)], "d int, SizeKb double, ByteLength long")
@@ -114,6 +115,39 @@ def feature_importance(df: DataFrame, model: LinearModel, active_col: str = "act
     return out.select("idx", "feature", "mean_abs", "std_abs", (n / F.greatest("total", F.lit(1))).alias("mean_value"), n.alias("occurrences")).orderBy(F.desc("mean_abs"), "idx")
 
 
+def greedy_selection(df: DataFrame, model: LinearModel, label_col: str, k: int, active_col: str = "active") -> list[tuple[int, float]]:
+    """Up to k features, each the one that adds most to macro F1 (the first on ties), with the F1 reached; one pass over the rows for each."""
+    rows, start = constant(model.coef.T.tolist(), "array<array<double>>"), constant(model.intercept.tolist(), "array<double>")
+    chosen: list[tuple[int, float]] = []
+    for _ in range(min(k, len(model.features))):
+        taken = [i for i, _ in chosen]
+        rest = constant([i for i in range(len(model.features)) if i not in taken], "array<int>")
+        held = F.filter(F.col(active_col), lambda i: F.array_contains(constant(taken, "array<int>"), i))  # noqa: B023
+        scores = add_at(held, rows, start)
+        with_one = lambda s: F.transform(rest, lambda i: F.struct(i.alias("idx"), first_max(F.when(F.array_contains(active_col, i), F.zip_with(s, F.get(rows, i), lambda x, y: x + y)).otherwise(s)).alias("place")))  # noqa: B023, E731
+        preds = df.select(F.col(label_col).alias("label"), F.inline(bound(scores, with_one)))
+        f1 = metrics.macro_f1(preds.select("idx", "label", _names(model, F.col("place")).alias("pred")), "label", "pred", ("idx",))
+        best = f1.orderBy(F.desc(F.round("macro_f1", 12)), "idx").first()
+        if best is None:
+            break
+        chosen.append((best.idx, best.macro_f1))
+    return chosen
+
+
+def bag_curve(vectors: DataFrame, weights: DataFrame, classes: list[str], ns: list[int], label_col: str, id_col: str) -> DataFrame:
+    """(N, F1) from the first n terms of a bag of words: vectors(id, label, indices, counts), weights(idx, c, w) with c the class number.
+
+    Weights may be as many as terms times classes, so they are joined; rows without terms score 0 for every class, and the first class wins ties.
+    """
+    terms = vectors.select(id_col, F.inline(F.arrays_zip("indices", "counts"))).withColumnRenamed("indices", "idx")
+    sums = terms.join(weights, "idx").groupBy(id_col, "c").agg(F.array(*[F.sum(F.when(F.col("idx") < n, F.col("counts") * F.col("w")).otherwise(F.lit(0.0))) for n in ns]).alias("s"))
+    by_row = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("c", "s"))).alias("m"))
+    rows = vectors.select(id_col, F.col(label_col).alias("label")).join(by_row, id_col, "left").select("label", F.posexplode(constant(ns, "array<int>")).alias("k", "top"), "m")
+    scores = F.transform(F.sequence(F.lit(0), F.lit(len(classes) - 1)), lambda c: F.coalesce(F.get(F.element_at("m", c), F.col("k")), F.lit(0.0)))
+    preds = rows.select("top", "label", F.get(constant(classes, "array<string>"), bound(scores, first_max)).alias("pred"))
+    return metrics.macro_f1(preds, "label", "pred", ("top",)).select(F.col("top").alias("N"), F.col("macro_f1").alias("F1"))
+
+
 def permutation_importance(df: DataFrame, model: LinearModel, label_col: str, id_col: str, active_col: str = "active", seed: str = "42") -> DataFrame:
     """(idx, feature, F1, drop) by feature: macro F1 after its values moved one row on in a hash order, and what that loses.
 

@@ -31,6 +31,12 @@ def strip_tag(text: Column, tag: str) -> Column:
     return F.regexp_replace(text, rf"(?is)({_opener(tag)}).*?(</{tag}>)", "$1$2")
 
 
+def strip_tag_compat(text: Column, tag: str) -> Column:
+    """strip_tag, but with what stands before a look-alike tag (<scripts>) lost, and its first letters too, as in models' old training data."""
+    before = rf"(?:(?!<{tag})(?s:.))*+"
+    return F.regexp_replace(text, rf"(?i)({before}{_opener(tag)})(?s:.*?)(</{tag}>)|{before}<{tag}(?=[\p{{L}}\p{{N}}])", "$1$2")
+
+
 def unclosed_tag(text: Column, tag: str) -> Column:
     """Whether an opener stays once all pairs are gone."""
     rest = F.regexp_replace(text, rf"(?is){_opener(tag)}.*?</{tag}>", "")
@@ -41,11 +47,14 @@ def drop_html(text: Column) -> Column:
     return F.regexp_replace(text, r"(?is)<html\b.*?>.*?</html>", "")
 
 
-def remove_sub_languages(df: DataFrame, text_col: str = "Snippet", label_col: str = "Language", mode: str = "quarantine") -> DataFrame:
-    """Clean the text by its label. Malformed files get their reason in `error` and keep their text, or with mode `fail` end the job."""
-    t, label = F.col(text_col), F.col(label_col)
+def remove_sub_languages(df: DataFrame, text_col: str = "Snippet", label_col: str = "Language", mode: str = "quarantine", compat: bool = False) -> DataFrame:
+    """Clean the text by its label. Malformed files get their reason in `error` and keep their text, or with mode `fail` end the job.
+
+    With `compat`, texts before look-alike tags are lost (strip_tag_compat).
+    """
+    t, label, strip = F.col(text_col), F.col(label_col), strip_tag_compat if compat else strip_tag
     markup = label.isin("PHP", "HTML")
-    clean = F.when(label == "Markdown", empty_fences(t)).when(label == "SQL", drop_html(t)).when(markup, strip_tag(strip_tag(t, "script"), "style")).otherwise(t)
+    clean = F.when(label == "Markdown", empty_fences(t)).when(label == "SQL", drop_html(t)).when(markup, strip(strip(t, "script"), "style")).otherwise(t)
     error = (
         F.when((label == "Markdown") & odd_fences(t), F.lit("uneven code fences"))
         .when(markup & unclosed_tag(t, "script"), F.lit("unclosed script"))

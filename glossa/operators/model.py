@@ -91,7 +91,7 @@ def softmax(scores: Column) -> Column:
 
 def first_max(scores: Column) -> Column:
     """Place (from 0) of the greatest score, the first on ties."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    return F.transform(F.array(scores), lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int"))[0]
 
 
 def predict(df: DataFrame, model: LinearModel, active_col: str = "active", text_col: str | None = None, min_length: int = 5) -> DataFrame:

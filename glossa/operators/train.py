@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 import warnings
+from pathlib import Path
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.features import indicator_vectors, presence
+from glossa.operators.features import feature_fingerprint, indicator_vectors, presence
 from glossa.operators.model import LinearModel, add_at, constant
+from glossa.sources.scratch import scratch_root
 
 
 def class_labels(df: DataFrame, label_col: str) -> list[str]:
@@ -48,6 +52,34 @@ def train_logistic(df: DataFrame, tokens: list[str], label_col: str = "Language"
     return LinearModel(list(tokens), classes, coef, bias - shift * coef.sum(axis=1))
 
 
+def cached_logistic(df: DataFrame, tokens: list[str], folder: str | Path, text_col: str = "Snippet", label_col: str = "Language", **options) -> tuple[LinearModel, bool]:
+    """train_logistic through a cache of model files, and whether it was a hit; the key holds rows, texts, labels, vocabulary and all options."""
+    key = feature_fingerprint(df, [*tokens, json.dumps(options, sort_keys=True)], text_col, label_col)
+    path = Path(folder) / f"model-{key}.json"
+    if path.exists():
+        return LinearModel.load(path), True
+    model = train_logistic(df, tokens, label_col, **options)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    model.save(path)
+    return model, False
+
+
+def forest_nodes(fitted) -> DataFrame:
+    """(tree, id, prediction, impurity, gain, left, right, feature, threshold) of a fitted forest or tree: leaves have -1 as left and right.
+
+    Nodes come from the table that the model's own writer makes, in the shared folder.
+    """
+    spark = SparkSession.active()
+    path = f"{scratch_root(spark)}/forest-{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    data = spark.read.parquet(f"{path}/data")
+    flat = data.select(F.col("treeID").alias("tree"), "nodeData.*") if "nodeData" in data.columns else data.select(F.lit(0).alias("tree"), "*")
+    return flat.select(
+        "tree", "id", "prediction", "impurity", "gain", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("feature"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+    )
+
+
 def centroids(df: DataFrame, size: int, label_col: str = "Language", active_col: str = "active") -> DataFrame:
     """(label, idx, mean) of the features that a class has at all."""
     n = df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))

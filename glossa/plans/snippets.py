@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from glossa.functions import rules, vocab
 from glossa.functions import text as T
-from glossa.operators import analyze, clean, features, metrics, mining, sample, train
-from glossa.operators.model import LinearModel, explain, first_max, logits, predict, softmax
+from glossa.operators import analyze, checks, clean, features, metrics, mining, sample, train
+from glossa.operators.model import LinearModel, add_at, constant, encode, explain, predict
 from glossa.plans.queries import query
+from glossa.sources.scratch import materialize
 
 VOCAB = vocab.vocabulary()
 #: Tokens and labels of a fixed model, whose weights are eighths so that every engine adds them without rounding.
@@ -199,7 +200,88 @@ def word_tests(spark, sf_dir):
     )
 
 
-@query()
+def _early_rules(experiment: int):
+    table = rules.EXPERIMENTS[experiment]
+
+    @query(f"SELECT doc_id AS \"FileId\", {rules.active_rules_sql(rules=table)} AS active FROM documents", name=f"rules_exp{experiment}")
+    def early(spark, sf_dir):
+        return files(spark, sf_dir).select("FileId", F.concat_ws(",", rules.active_rules(F.col("Snippet"), table)).alias("active"))
+
+
+for _k in (1, 2, 3, 5):
+    _early_rules(_k)
+
+
+@query(f"""SELECT doc_id AS "FileId", list_aggregate(list_filter(string_split({rules.active_rules_sql(rules=rules.EXPERIMENTS[3])}, ','), lambda x: x <> '' AND x NOT IN ({', '.join(lit(k) for k in rules.EXPERIMENTS[1])})), 'string_agg', ',') AS added FROM documents""")
+def rules_added(spark, sf_dir):
+    """Rules of the third experiment that hold and that the first doesn't have."""
+    names = rules.rules_not_in(rules.active_rules(F.col("Snippet"), rules.EXPERIMENTS[3]), rules.EXPERIMENTS[1])
+    return files(spark, sf_dir).select("FileId", F.when(F.size(names) > 0, F.concat_ws(",", names)).alias("added"))
+
+
+@query(r"""SELECT doc_id AS "FileId", regexp_matches(t, '(^|[\n]) {2}[^\n]*[^\s]') AS two, regexp_matches(t, '(^|[\n]) {4}[^\n]*[^\s]') AS four FROM (SELECT doc_id, replace(text, '. ', chr(10) || '   ') AS t FROM documents)""")
+def leading_indent(spark, sf_dir):
+    t = F.replace("Snippet", F.lit(". "), F.lit("\n   "))
+    return files(spark, sf_dir).select("FileId", T.has_leading_indent(t, 2).alias("two"), T.has_leading_indent(t, 4).alias("four"))
+
+
+_RAW = """
+SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'Markdown' WHEN 'de' THEN 'SQL' WHEN 'fr' THEN 'PHP' ELSE 'Go' END AS label,
+  CASE lang WHEN 'en' THEN replace(text, '. ', '```') WHEN 'de' THEN replace(replace(text, ', ', '<html a>'), '. ', '</html>') WHEN 'fr' THEN replace(replace(text, ', ', '<script x>'), '. ', '</script>') ELSE text END AS t FROM documents
+UNION ALL SELECT -1 - page_id, 'HTML', html FROM pages"""
+_OPENER = """<TAG(?:(?:[^\\p{L}\\p{N}>"'']|"[^"]*"|''[^'']*'')(?:[^>"'']|"[^"]*"|''[^'']*'')*)?>""".replace("\\\\", "\\")
+
+
+def _pair(tag: str, keep: bool) -> str:
+    opener = _OPENER.replace("TAG", tag)
+    return f"'(?is)({opener}).*?(</{tag}>)', '\\1\\2', 'g'" if keep else f"'(?is){opener}.*?</{tag}>', '', 'g'"
+
+
+_NO_SCRIPT = f"regexp_replace(t, {_pair('script', True)})"
+_OPEN = "regexp_matches(regexp_replace({}, {}), '(?i)<{}([^\\p{{L}}\\p{{N}}]|$)')"
+
+
+@query(f"""WITH raw AS ({_RAW}), judged AS (SELECT *, CASE
+  WHEN label = 'Markdown' AND (length(t) - length(replace(t, '```', ''))) // 3 % 2 <> 0 THEN 'uneven code fences'
+  WHEN label IN ('PHP', 'HTML') AND {_OPEN.format('t', _pair('script', False), 'script')} THEN 'unclosed script'
+  WHEN label IN ('PHP', 'HTML') AND {_OPEN.format(_NO_SCRIPT, _pair('style', False), 'style')} THEN 'unclosed style' END AS error FROM raw)
+SELECT id AS "Id", label AS "Language", error, md5(CASE WHEN error IS NOT NULL THEN t WHEN label = 'Markdown' THEN regexp_replace(t, '(?s)```.*?```', '``````', 'g')
+  WHEN label = 'SQL' THEN regexp_replace(t, '(?is)<html\\b.*?>.*?</html>', '', 'g') WHEN label IN ('PHP', 'HTML') THEN regexp_replace({_NO_SCRIPT}, {_pair('style', True)}) ELSE t END) AS h FROM judged""")
+def sub_languages(spark, sf_dir):
+    """The nested-language cleaner over documents with fences, tags and markup put in, and over pages."""
+    t, put = F.col("Snippet"), lambda *pairs: _replaced(F.col("Snippet"), pairs)
+    label = F.when(F.col("Language") == "en", "Markdown").when(F.col("Language") == "de", "SQL").when(F.col("Language") == "fr", "PHP").otherwise("Go")
+    text = F.when(F.col("Language") == "en", put((". ", "```"))).when(F.col("Language") == "de", put((", ", "<html a>"), (". ", "</html>"))).when(F.col("Language") == "fr", put((", ", "<script x>"), (". ", "</script>"))).otherwise(t)
+    docs = files(spark, sf_dir).select(F.col("FileId").alias("Id"), label.alias("Language"), text.alias("Snippet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select((-1 - F.col("page_id")).alias("Id"), F.lit("HTML").alias("Language"), F.col("html").alias("Snippet"))
+    cleaned = clean.remove_sub_languages(docs.unionByName(pages))
+    return cleaned.select("Id", "Language", "error", F.md5(F.col("Snippet").cast("binary")).alias("h"))
+
+
+def _replaced(text, pairs):
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+@query("SELECT count(*)::BIGINT AS rows, count(*) FILTER (WHERE length(text) > 1000)::BIGINT AS hits, round(100.0::DOUBLE * count(*) FILTER (WHERE length(text) > 1000) / count(*), 9) AS percent FROM documents")
+def share_of_rows(spark, sf_dir):
+    return checks.share_of_rows(files(spark, sf_dir), F.length("Snippet") > 1000).withColumn("percent", F.round("percent", 9))
+
+
+@query("SELECT DISTINCT lang AS value FROM documents WHERE lang IS NOT NULL AND lang NOT IN ('en', 'fr')")
+def unmapped_labels(spark, sf_dir):
+    return checks.unmapped(files(spark, sf_dir), "Language", spark.createDataFrame([("en",), ("fr",)], "code string"), "code")
+
+
+@query("SELECT lang AS \"Language\", printf('%.1f', avg(length(text))) AS mean_chars, CASE WHEN lang = 'en' THEN '—' ELSE '50.0%' END AS shown FROM documents GROUP BY lang")
+def display_formats(spark, sf_dir):
+    means = files(spark, sf_dir).groupBy("Language").agg(F.avg(F.length("Snippet")).alias("m"))
+    half = F.when(F.col("Language") == "en", F.lit(float("nan"))).otherwise(F.lit(0.5))
+    return means.select("Language", checks.show_number(F.col("m")).alias("mean_chars"), checks.show_percent(half).alias("shown"))
+
+
+@query(f'SELECT doc_id AS "FileId", {rules.decide_sql()} AS pred FROM documents')
 def regex_decision_list(spark, sf_dir):
     return files(spark, sf_dir).select("FileId", rules.decide(F.col("Snippet")).alias("pred"))
 
@@ -222,6 +304,40 @@ def bow_counts(spark, sf_dir):
     return features.bag_of_words(files(spark, sf_dir), "FileId", "Snippet")
 
 
+_BOW_SQL = r"""
+bow AS (SELECT doc_id, lang, term, count(*) AS n FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY ALL),
+terms AS (SELECT term, row_number() OVER (ORDER BY term COLLATE "C") - 1 AS idx FROM (SELECT DISTINCT term FROM bow))"""
+
+
+@query(f"WITH {_BOW_SQL} SELECT idx::BIGINT AS idx, term FROM terms")
+def bow_vocabulary(spark, sf_dir):
+    return features.term_vocabulary(files(spark, sf_dir), "Snippet")
+
+
+@query(f"""WITH {_BOW_SQL} SELECT d.doc_id AS "FileId", coalesce(string_agg(idx || ':' || n, ' ' ORDER BY idx), '') AS vector FROM documents d LEFT JOIN bow b ON b.doc_id = d.doc_id LEFT JOIN terms t ON t.term = b.term GROUP BY d.doc_id""")
+def bow_vectors(spark, sf_dir):
+    docs = files(spark, sf_dir)
+    vectors = features.bag_vectors(docs, features.term_vocabulary(docs, "Snippet"), "FileId", "Snippet")
+    return vectors.select("FileId", F.array_join(F.zip_with("indices", "counts", lambda i, n: F.concat_ws(":", i.cast("string"), n.cast("string"))), " ").alias("vector"))
+
+
+_BAG_NS = [50, 200, 1000]
+
+
+@query(f"""WITH {_BOW_SQL}, cls AS (SELECT * FROM (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr')) v(c, name)), ns AS (SELECT unnest({_BAG_NS}) AS n),
+sn AS (SELECT ns.n, d.doc_id, d.lang, c, name, coalesce(sum(b.n * ((7 * c + 5 * idx) % 13 - 6) / 8::DOUBLE), 0) AS s FROM ns CROSS JOIN documents d CROSS JOIN cls
+  LEFT JOIN (SELECT doc_id, idx, bow.n FROM bow JOIN terms ON terms.term = bow.term) b ON b.doc_id = d.doc_id AND b.idx < ns.n GROUP BY ns.n, d.doc_id, d.lang, c, name),
+bn AS (SELECT n, doc_id, any_value(lang) AS lang, min_by(name, (-s, c)) AS pred FROM sn GROUP BY n, doc_id),
+f AS (SELECT n, label, 2 * sum(hit) / sum(t + p)::DOUBLE AS f1 FROM (SELECT n, lang AS label, 1 AS t, 0 AS p, CASE WHEN lang = pred THEN 1 ELSE 0 END AS hit FROM bn UNION ALL SELECT n, pred, 0, 1, 0 FROM bn) GROUP BY n, label)
+SELECT n AS "N", round(avg(f1), 9) AS "F1" FROM f GROUP BY n""")
+def bow_curve_fixed(spark, sf_dir):
+    docs = files(spark, sf_dir)
+    terms = materialize(features.term_vocabulary(docs, "Snippet"), "bow-terms")
+    vectors = features.bag_vectors(docs, terms, "FileId", "Snippet").join(docs.select("FileId", "Language"), "FileId")
+    weights = terms.select("idx", F.explode(F.sequence(F.lit(0), F.lit(len(CLASSES) - 1))).alias("c")).withColumn("w", ((7 * F.col("c") + 5 * F.col("idx")) % 13 - 6) / 8)
+    return analyze.bag_curve(vectors, weights, CLASSES, _BAG_NS, "Language", "FileId").select("N", F.round("F1", 9).alias("F1"))
+
+
 _MINE_SQL = """
 w AS (SELECT doc_id, lang, length(text) AS chars, list_filter(regexp_extract_all(text, '[A-Za-z_]+'), lambda x: length(x) > 4) AS words FROM documents),
 d AS (SELECT * FROM w WHERE len(words) > 0), tot AS (SELECT lang, sum(chars) AS chars, count(*) AS docs FROM d GROUP BY lang),
@@ -242,9 +358,11 @@ def mine_tokens(spark, sf_dir):
     return mined.select("Substring", "BestLanguage", *[F.round(c, 9).alias(c) for c in ("BestFreq", "RestMean", "Gini")], "LangCount", "RestCount", F.round("TfIdf", 9).alias("TfIdf"))
 
 
-@query()
+@query(f'''WITH {_MINE_SQL} SELECT "Substring", "BestLanguage", "LangCount", "RestCount", round(log10("TfIdfRatio"), 6) AS tfidf_ratio, round(log10("Ratio"), 6) AS ratio, round("Gini", 6) AS gini
+  FROM mined ORDER BY round(log10("TfIdfRatio"), 9) DESC, round(log10("Ratio"), 9) DESC, round("Gini", 9) DESC, "Substring" COLLATE "C" LIMIT 186''')
 def mine_topk(spark, sf_dir):
-    return mining.top_tokens(mining.mine_tokens(files(spark, sf_dir)))
+    top = mining.top_tokens(mining.mine_tokens(files(spark, sf_dir)))
+    return top.select("Substring", "BestLanguage", "LangCount", "RestCount", F.round(F.log10("TfIdfRatio"), 6).alias("tfidf_ratio"), F.round(F.log10("Ratio"), 6).alias("ratio"), F.round("Gini", 6).alias("gini"))
 
 
 @query("SELECT (count(*) + 1 - 2 * sum(c) / max(c)) / count(*) AS gini FROM (SELECT length(text)::DOUBLE AS v, sum(length(text)::DOUBLE) OVER (ORDER BY length(text) ROWS UNBOUNDED PRECEDING) AS c FROM documents)".replace("SELECT (count", "SELECT round((count").replace("count(*) AS gini", "count(*), 9) AS gini"))
@@ -295,7 +413,7 @@ dot AS (SELECT a.doc_id, c.lang, sum(mean) AS dot FROM a JOIN cent c ON a.idx =
 dist AS (SELECT d.doc_id, norm.lang, round(coalesce(k, 0) + norm - 2 * coalesce(dot, 0), 9) AS d FROM documents d CROSS JOIN norm LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN dot ON dot.doc_id = d.doc_id AND dot.lang = norm.lang)
 SELECT doc_id AS "FileId", min_by(lang, (d, lang)) AS pred FROM dist GROUP BY doc_id""")
 def centroid_predict(spark, sf_dir):
-    rows = features.with_features(files(spark, sf_dir), TOKENS).cache()
+    rows = features.with_features(files(spark, sf_dir), TOKENS)
     return train.nearest_centroid(rows, train.centroids(rows, len(TOKENS)), "FileId")
 
 
@@ -401,34 +519,77 @@ def permutation_importance(spark, sf_dir):
     return moved.select("idx", "feature", F.round("F1", 9).alias("F1"), F.round("drop", 9).alias("drop"))
 
 
-@query()
+_ALL_NS = list(range(1, len(TOKENS) + 1))
+
+
+@query(f"""WITH {_SCORES_SQL}, ns AS (SELECT unnest({_ALL_NS}) AS n),
+sn AS (SELECT ns.n, d.doc_id, d.lang, b.c, b.name, b.b + coalesce(sum(w.w), 0) AS s FROM ns CROSS JOIN documents d CROSS JOIN b LEFT JOIN act ON act.doc_id = d.doc_id AND act.idx < ns.n LEFT JOIN w ON w.idx = act.idx AND w.c = b.c GROUP BY ns.n, d.doc_id, d.lang, b.c, b.name, b.b),
+bn AS (SELECT n, doc_id, any_value(lang) AS lang, min_by(name, (-s, c)) AS pred FROM sn GROUP BY n, doc_id), curve AS (SELECT n, avg(f1) AS f1 FROM {_F1.format(by="n,", src="bn")} GROUP BY n),
+fell AS (SELECT coalesce(max(n), 0) AS n FROM curve WHERE f1 < (SELECT f1 FROM curve WHERE n = {len(TOKENS)}) - 0.01)
+SELECT n, round(f1, 9) AS f1 FROM curve WHERE n = (SELECT n + 1 FROM fell)""")
+def ideal_size_fixed(spark, sf_dir):
+    rows = materialize(features.with_features(files(spark, sf_dir), TOKENS).select("active", "Language"), "ideal-size")
+    best = analyze.ideal_size(rows, MODEL, "Language", decimals=None, block=5)
+    return spark.createDataFrame([(best.n, round(best.f1, 9))], "n int, f1 double")
+
+
+_ROUNDED_SQL = _SCORES_SQL.split("score AS")[0].strip().rstrip(",")
+
+
+@query(f"""WITH {_ROUNDED_SQL}, ds AS (SELECT unnest(range(0, 5)) AS d), wr AS (SELECT d, c, idx, round_even(w, d::INT) AS w FROM ds CROSS JOIN w), br AS (SELECT d, c, name, round_even(b, d::INT) AS b FROM ds CROSS JOIN b),
+sn AS (SELECT br.d, x.doc_id, x.lang, br.c, br.name, br.b + coalesce(sum(wr.w), 0) AS s FROM br CROSS JOIN documents x LEFT JOIN act ON act.doc_id = x.doc_id LEFT JOIN wr ON wr.idx = act.idx AND wr.c = br.c AND wr.d = br.d GROUP BY br.d, x.doc_id, x.lang, br.c, br.name, br.b),
+bn AS (SELECT d, doc_id, any_value(lang) AS lang, min_by(name, (-round(s, 9), c)) AS pred FROM sn GROUP BY d, doc_id)
+SELECT d::INT AS "Decimals", round(avg(f1), 9) AS "F1" FROM {_F1.format(by="d,", src="bn")} GROUP BY d""")
 def rounding_curve_fixed(spark, sf_dir):
     rows = features.with_features(files(spark, sf_dir), TOKENS)
-    return analyze.rounding_curve(rows, MODEL, "Language", 4)
+    return analyze.rounding_curve(rows, MODEL, "Language", 4).select("Decimals", F.round("F1", 9).alias("F1"))
+
 
+@query(f"WITH q AS (SELECT c, idx, round_even(w / (6 / 8::DOUBLE / 127), 0)::INT AS q FROM (SELECT * FROM {_WEIGHTS_SQL})), {_ROUNDED_SQL}, s AS (SELECT d.doc_id, q.c, sum(q) FILTER (WHERE act.idx IS NOT NULL)::BIGINT AS q FROM documents d CROSS JOIN q LEFT JOIN act ON act.doc_id = d.doc_id AND act.idx = q.idx GROUP BY d.doc_id, q.c) SELECT doc_id AS \"FileId\", c, coalesce(q, 0)::BIGINT AS q FROM s")
+def int8_scores(spark, sf_dir):
+    """Scores, before the intercept, of the model's weights as its int8 encoding stores them."""
+    stored = np.frombuffer(encode(MODEL, "int8"), np.int8, offset=8)[: MODEL.coef.size].reshape(MODEL.coef.shape)
+    rows = features.with_features(files(spark, sf_dir), TOKENS)
+    sums = add_at(F.col("active"), constant(stored.T.astype(int).tolist(), "array<array<bigint>>"), constant([0] * len(CLASSES), "array<bigint>"))
+    return rows.select("FileId", F.posexplode(sums).alias("c", "q"))
 
-@query(f"SELECT c, idx, round_even(w / (6 / 8::DOUBLE / 127), 0)::INT AS q FROM (SELECT * FROM {_WEIGHTS_SQL})")
-def int8_quantize(spark, sf_dir):
-    scale = float(np.abs(MODEL.coef).max()) / 127
-    rows = [(c, i, float(w)) for c, row in enumerate(MODEL.coef.tolist()) for i, w in enumerate(row)]
-    return spark.createDataFrame(rows, "c int, idx int, w double").select("c", "idx", F.rint(F.col("w") / scale).cast("int").alias("q"))
+
+@query(f"WITH v AS (SELECT * FROM {_TOKENS_SQL}), f AS (SELECT idx, (length(text) - length(replace(text, token, ''))) / length(token)::DOUBLE / length(text) AS x FROM documents, v) SELECT idx, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std FROM f GROUP BY idx")
+def scaler_stats(spark, sf_dir):
+    rows = files(spark, sf_dir).select(features.token_frequency(F.col("Snippet"), TOKENS).alias("x"))
+    mean, std = train.scaler(rows, "x", len(TOKENS))
+    return spark.createDataFrame([(i, round(float(m), 9), round(float(s), 9)) for i, (m, s) in enumerate(zip(mean, std, strict=True))], "idx int, mean double, std double")
+
+
+def _trained(spark, sf_dir, tokens: list[str]) -> DataFrame:
+    rows = features.with_features(files(spark, sf_dir), tokens, engine="arrow").select("FileId", "Language", "active")
+    return materialize(sample.stratified_split(materialize(rows, "active")), "train-split")
 
 
 @query()
 def lr_train_predict(spark, sf_dir):
-    rows = sample.stratified_split(features.with_features(files(spark, sf_dir), TOKENS)).cache()
-    model = train.train_logistic(rows.where("split = 'train'"), TOKENS)
+    """Logistic regression on the whole default vocabulary, predictions of the held-out rows."""
+    rows = _trained(spark, sf_dir, VOCAB)
+    model = train.train_logistic(rows.where("split = 'train'"), VOCAB)
     return predict(rows.where("split = 'test'"), model).select("FileId", "Language", "pred", "prob")
 
 
 def _classifier_query(kind: str):
     @query(name=f"classify_{kind}")
     def classify(spark, sf_dir):
-        rows = features.with_features(files(spark, sf_dir), TOKENS)
-        ready = train.training_rows(rows, CLASSES, len(TOKENS), "Language").cache()
-        fitted = train.classifier(kind, len(TOKENS), len(CLASSES)).fit(ready)
+        rows = materialize(features.with_features(files(spark, sf_dir), VOCAB, engine="arrow").select("active", "Language"), "active")
+        ready = materialize(train.training_rows(rows, CLASSES, len(VOCAB), "Language"), "training-rows")
+        fitted = train.classifier(kind, len(VOCAB), len(CLASSES)).fit(ready)
         return fitted.transform(ready).groupBy(F.col("y").alias("actual"), F.col("prediction").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 for _kind in ("bernoulli_nb", "multinomial_nb", "linear_svc", "perceptron", "random_forest"):
     _classifier_query(_kind)
+
+
+@query()
+def forest_nodes(spark, sf_dir):
+    """The node table of a small random forest."""
+    rows = features.with_features(files(spark, sf_dir), TOKENS).select("active", "Language")
+    ready = materialize(train.training_rows(rows, CLASSES, len(TOKENS), "Language"), "training-rows")
+    return train.forest_nodes(train.classifier("random_forest", len(TOKENS), len(CLASSES)).setNumTrees(10).setMaxDepth(10).fit(ready))

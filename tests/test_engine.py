@@ -4,6 +4,7 @@ import gzip
 import random
 import sqlite3
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import rules, vocab
 from glossa.functions import text as T
-from glossa.operators import analyze, clean, features, metrics, mining, sample, train
+from glossa.operators import analyze, checks, clean, features, metrics, mining, sample, train
 from glossa.operators.model import LinearModel, clips, compact_values, decode, encode, explain, first_max, predict, softmax
 from glossa.sources import io
 
@@ -241,3 +242,173 @@ def test_stream_scores_like_batch(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     write_stream(score_stream(read_stream(spark, str(tmp_path / "in"), "Snippet string"), m), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.Snippet, r.pred) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("aaaaaa", "x"), ("bbbbbb", "y")]
+
+
+def test_rules_one_by_one(spark):
+    """For every rule a text that it holds for, written by hand, with all other rules that hold for it."""
+    holds = {
+        "None": "HasNoneTC", "self": "HasSelf", "True": "HasTrueTC", "False": "HasFalseTC", "lambda": "HasLambda", "x:": "HasIndentColon", "'''": "HasTripleQuotes", "f'a'": "HasPythonFString",
+        "public": "HasPublic HasTsAccessMod", "static": "HasStatic", "void": "HasVoid", "new": "HasNew", "package": "HasPackage HasGoPackage", "extends": "HasExtends", "implements": "HasImplements HasTsImplements",
+        "a@": "HasAtSymbol", "let": "HasLet", "const": "HasConst", "var": "HasVar", "=>": "HasFatArrow", "export": "HasExport HasShellExport", "default": "HasDefault", "func": "HasFunc", ":=": "HasColonEquals",
+        "defer": "HasDefer", "go": "HasGoKeyword", "chan": "HasChan", "a<-": "HasLeftArrow", "end": "HasEnd", "module": "HasModule", "require": "HasRequire", "do": "HasDo HasShellDo", "puts": "HasPuts",
+        "<?php": "HasPhpTag HasAngleQuestion", "$é": "HasDollarVar", "namespace": "HasNamespace", "use": "HasUse", "echo": "HasEcho", "a->b": "HasThinArrow", "a::b": "HasDoubleColon", "async": "HasAsync",
+        "await": "HasAwait", "def": "HasDef", "function": "HasFunction", "import": "HasImport", "import or from": "HasImport HasFromImport HasSqlFrom",
+        "from a import b": "HasImport HasFromImport HasFromImportOrder HasSqlFrom", "import a from 'b'": "HasImport HasFromImport HasImportFromOrder HasSqlFrom", "import a as b": "HasImport HasImportAs HasTsAs",
+        "import * as b": "HasImport HasImportAs HasImportStarAs HasTsAs", "import 'a'": "HasImport HasImportQuoteLine", "class": "HasClass", "a;": "HasSemicolon", "a#": "HasHashComment",
+        "@": "HasAtSymbol HasDecoratorLine", "this.": "HasThisDot", "$this->a": "HasThisArrow HasDollarThis HasDollarVar HasThinArrow HasShellVar", "$this": "HasDollarThis HasDollarVar HasShellVar",
+        "**kwargs": "HasKwargs", "*args": "HasArgs", "<?": "HasAngleQuestion", "<>": "HasAngleBrackets", "($": "HasDollarParen", ".+": "HasDotPlus", "(+=": "HasPlusEquals", "&$": "HasAmpDollar",
+        "( : )": "HasSpaceColonSpace", "/*#": "HasSlashStarHash HasHashComment", "private": "HasPrivate HasTsAccessMod", "protected": "HasProtected HasTsAccessMod", "bool": "HasBool", "boolean": "HasBoolean",
+        "str": "HasStr", "string": "HasString", "String": "HasStringTC", "std::string": "HasStdString HasString HasDoubleColon HasStdNamespace", "cstring": "HasCString", "char": "HasChar", "byte": "HasByte",
+        "bytes": "HasBytes", "strlen": "HasStrlen", "a\tb": "HasTabs", "  a": "HasIndentTwoSpaces", "    a": "HasIndentTwoSpaces HasIndentFourSpaces", "def a(b): c": "HasDef HasDefLineColon",
+        "<? extends": "HasGenericWildcard HasExtends HasAngleQuestion", "diff --git": "HasDiffHeader", "@@": "HasAtSymbol HasDecoratorLine HasDiffHunk", "+++": "HasDiffFilePlus",
+        "---": "HasDiffFileMinus HasYamlDocMarker HasMarkdownUnderlineHeading", "a: ": "HasMakeTarget HasIndentColon", "$(a": "HasMakeVar", ".PHONY": "HasPhony", "a =": "HasMakeAssign", "a ?=": "HasMakeAssign",
+        "$(shell a": "HasMakeVar HasMakeShell", "\t?": "HasTabs HasMakeRecipeTab", "#include <stdio": "HasHashComment HasIncludeStdIO HasMarkdownHeading HasIniComment", "printf": "HasPrintf", "scanf": "HasScanf",
+        "#include <iostream": "HasHashComment HasIostream HasMarkdownHeading HasIniComment", "std::": "HasStdNamespace HasDoubleColon HasIndentColon", "template": "HasTemplate", "fn a(b) -> c": "HasRustFnArrow HasThinArrow",
+        "use a::b": "HasUse HasDoubleColon HasRustUse", "macro_rules!": "HasRustMacroRules", "#[derive": "HasHashComment HasRustDerive HasMarkdownHeading HasIniComment", "let mut": "HasLet HasLetMut",
+        "match": "HasRustMatch", "import (": "HasImport HasGoImportBlock", "(color: red": "HasCssProperty", "$-a:b": "HasScssVar", "(@mixin": "HasAtSymbol HasScssMixin HasLessVarUse",
+        "(@include": "HasAtSymbol HasScssInclude HasLessVarUse", "(@extend": "HasAtSymbol HasScssExtend HasLessVarUse", "(#{": "HasHashComment HasScssInterp", "&.": "HasScssNestedAmp", "(@-a:b": "HasAtSymbol HasLessVar HasLessVarUse",
+        "(@{": "HasAtSymbol HasLessInterp", "when (": "HasLessGuard", "(@import (": "HasAtSymbol HasImport HasGoImportBlock HasLessImportOpts HasLessVarUse", "(.a (": "HasLessMixinCall", "(@a": "HasAtSymbol HasLessVarUse",
+        "Select": "HasSqlSelect", "From": "HasSqlFrom", "Where": "HasSqlWhere", "Create Table": "HasSqlCreateTable", "Insert Into": "HasSqlInsertInto", '{"a":1}': "HasJsonObject", "[a]": "HasIniSection",
+        "a = b": "HasMakeAssign HasIniKeyValue", ";": "HasSemicolon HasIniComment", "- ": "HasYamlList HasMarkdownList", "...": "HasYamlDocMarker HasLuaConcat", "a: b": "HasMakeTarget HasYamlKeyValue",
+        "#": "HasHashComment HasMarkdownHeading HasIniComment", "* ": "HasMarkdownList", "1. ": "HasMarkdownOrdered", ">": "HasMarkdownQuote", "====": "HasMarkdownUnderlineHeading", "(```": "HasMarkdownFence",
+        "](": "HasMarkdownLink", "<?xml": "HasXmlDecl HasAngleQuestion", "xmlns": "HasXmlNs", "Query": "HasGraphQlQuery", "Mutation": "HasGraphQlMutation", "Fragment": "HasGraphQlFragment",
+        "(... on": "HasGraphQlSpread HasLuaConcat", "interface": "HasTsInterface", "type": "HasTsTypeAlias", "enum": "HasTsEnum", "as": "HasTsAs", "readonly": "HasTsReadonly",
+        "#!": "HasHashComment HasMarkdownHeading HasIniComment HasShebang", "if [": "HasShellIf", "fi": "HasShellFi", "then": "HasShellThen HasLuaThen", "done": "HasShellDone", "$a": "HasDollarVar HasShellVar",
+        "use strict": "HasUse HasPerlStrict", "use warnings": "HasUse HasPerlWarnings", "my $": "HasPerlMySigil", "(@ARGV": "HasAtSymbol HasPerlArgv HasLessVarUse", "s/a/b/": "HasPerlRegexSub", "local": "HasLuaLocal",
+        "elseif": "HasLuaElseIf", "a..b": "HasLuaConcat", "a <- b": "HasLeftArrow HasRAssign", "library": "HasRLibrary", "data.frame(": "HasRDataFrame HasLessMixinCall", "ggplot(": "HasRGgplot",
+        "set.seed(": "HasRSetSeed HasLessMixinCall", "TRUE": "HasRTrueFalse", "FALSE": "HasRTrueFalse", "int main(": "HasMainFunc", "return 0;": "HasSemicolon HasReturnZero", "Imports": "HasVbImports",
+        "Module": "HasVbModule", "Sub": "HasVbSub", "End Sub": "HasVbSub HasVbEndSub", "Dim": "HasVbDim", "As": "HasVbAs", "xconst": "", "selfish": "", "a": "", "": "",
+    }
+    assert {name for names in holds.values() for name in names.split()} == set(rules.RULES)
+    df = spark.createDataFrame(list(holds.items()), "t string, want string")
+    got = df.select("*", rules.active_rules(F.col("t")).alias("got")).collect()
+    assert {r.t: set(r.got) ^ set(r.want.split()) for r in got if set(r.got) != set(r.want.split())} == {}
+    for r in got:
+        assert r.got == [k for k in rules.RULES if k in r.got]
+
+
+def test_rules_of_earlier_experiments(spark):
+    assert {k: len(v) for k, v in rules.EXPERIMENTS.items()} == {1: 31, 2: 84, 3: 102, 5: 80, 6: 186}
+    holds = {
+        "xconsts": ("HasConst", "HasConst"), "True None": ("HasNone HasTrueUpper", "HasNoneTC HasTrueTC"), "#!sh": ("", "HasHashBang HasShebang"), " #!sh": ("", ""), " % x": ("", "HasMatlabPercentComment"),
+        "x %": ("", ""), "</a": ("", "HasClosingTag"), "</ a": ("", ""), "println!": ("", "HasRustMacro"), "!a": ("", ""), "k-1: v": ("", "HasYamlKeyValue"), "some Data.": ("", "HasAbapData"),
+        "fi then": ("", "HasThen HasFi HasFiElse HasLuaThen"), "macro": ("", "HasNemerleMacro HasCrystalMacro HasHaxeMacro"), "attr_reader": ("", "HasRubyAttrAccessor"), "endmodule": ("HasModule", "HasModule HasEndModule"),
+    }
+    df = spark.createDataFrame([(k, *v) for k, v in holds.items()], "t string, first string, third string")
+    got = df.select("*", rules.active_rules(F.col("t"), rules.EXPERIMENTS[1]).alias("a"), rules.active_rules(F.col("t"), rules.EXPERIMENTS[3]).alias("b")).collect()
+    for r in got:
+        assert (set(r.a), set(r.b)) == (set(r.first.split()), set(r.third.split())), r.t
+    assert "HasPythonFString" not in rules.EXPERIMENTS[5] and "HasDiffHeader" not in rules.EXPERIMENTS[5]
+
+
+def test_systematic_sample_equals_row_numbers(spark):
+    """Over many rows, columns and partitions, and with ties and nulls in the order."""
+    df = spark.range(400_000).select((F.col("id") * 7919 % 400_000).alias("k"), F.col("id").alias("v"), F.lit("x").alias("w"))
+    for parts in (1, 7):
+        got = sample.systematic_sample(df.repartition(parts), 4000, "k")
+        assert got.columns == df.columns and sorted(r.k for r in got.collect()) == list(range(0, 400_000, 100))
+    ties = spark.createDataFrame([(i // 40 if i < 90 else None, i) for i in range(100)], "k int, v int")
+    got = [tuple(r) for r in sample.systematic_sample(ties.repartition(3), 9, "k").collect()]
+    assert sorted(k for k, _ in got) == [0, 0, 0, 0, 1, 1, 1, 1, 2] and len(set(got)) == 9
+    assert sorted(got) == sorted(tuple(r) for r in sample.systematic_sample(ties.coalesce(1), 9, "k").collect())
+    assert sample.systematic_sample(ties.where("k > 5"), 3, "k").count() == 0
+
+
+def test_gini_over_many_values(spark):
+    values = np.random.default_rng(3).exponential(size=60_000).round(4)
+    got = mining.gini_of(spark.createDataFrame([(float(v),) for v in values], "v double"), "v").first().gini
+    x = np.sort(values)
+    assert got == pytest.approx((len(x) + 1 - 2 * np.cumsum(x).sum() / x.sum()) / len(x), abs=1e-9)
+
+
+def test_prefix_predictions_of_a_large_model_plan_fast(spark):
+    rng = np.random.default_rng(5)
+    m = LinearModel([f"t{i}" for i in range(697)], [f"c{k:02}" for k in range(31)], rng.normal(size=(31, 697)), rng.normal(size=31))
+    active = [sorted(rng.choice(697, rng.integers(0, 80), replace=False).tolist()) for _ in range(20)]
+    df = spark.createDataFrame([(i, a, m.classes[i % 31]) for i, a in enumerate(active)], "id int, active array<int>, Language string")
+    ns = analyze.grid(697, 50)
+    started = time.perf_counter()
+    preds = analyze.prefix_predictions(df, m, ns, "Language")
+    assert time.perf_counter() - started < 5
+    want = sorted((n, m.classes[i % 31], m.classes[int((m.intercept + m.coef[:, [j for j in a if j < n]].sum(axis=1)).argmax())]) for i, a in enumerate(active) for n in ns)
+    assert sorted(map(tuple, preds.collect())) == want
+    got = predict(df, m).orderBy("id").collect()
+    for r, a in zip(got, active, strict=True):
+        z = m.intercept + m.coef[:, a].sum(axis=1)
+        assert r.pred == m.classes[int(z.argmax())] and r.prob == pytest.approx(float((np.exp(z - z.max()) / np.exp(z - z.max()).sum()).max()))
+
+
+def test_bag_of_words(spark):
+    df = spark.createDataFrame([(1, "Über über a BB bb_1 bb"), (2, ""), (3, None), (4, "cc, bb")], "id int, t string")
+    assert sorted(map(tuple, features.bag_of_words(df, "id", "t").collect())) == [(1, "bb", 2), (1, "bb_1", 1), (1, "über", 2), (4, "bb", 1), (4, "cc", 1)]
+    terms = features.term_vocabulary(df, "t")
+    assert sorted(map(tuple, terms.collect())) == [(0, "bb"), (1, "bb_1"), (2, "cc"), (3, "über")]
+    got = {r.id: (r.indices, r.counts) for r in features.bag_vectors(df, terms, "id", "t").collect()}
+    assert got == {1: ([0, 1, 3], [2, 1, 2]), 2: ([], []), 3: ([], []), 4: ([0, 2], [1, 1])}
+
+
+def test_greedy_selection(spark):
+    rng = np.random.default_rng(8)
+    m = LinearModel(list("pqrs"), ["a", "b", "c"], rng.integers(-3, 4, size=(3, 4)).astype(float), np.array([0.5, 0.25, 0.0]))
+    rows = [(np.flatnonzero(rng.random(4) < 0.5).tolist(), rng.choice(m.classes)) for _ in range(60)]
+    got = analyze.greedy_selection(spark.createDataFrame(rows, "active array<int>, Language string"), m, "Language", 3)
+
+    def f1(chosen):
+        preds = [m.classes[int((m.intercept + m.coef[:, [i for i in a if i in chosen]].sum(axis=1)).argmax())] for a, _ in rows]
+        truth, scores = [y for _, y in rows], []
+        for c in set(truth) | set(preds):
+            scores.append(2 * sum(p == y == c for p, y in zip(preds, truth, strict=True)) / (preds.count(c) + truth.count(c)))
+        return sum(scores) / len(scores)
+
+    chosen = []
+    for i, value in got:
+        best = max((j for j in range(4) if j not in chosen), key=lambda j: (round(f1([*chosen, j]), 12), -j))
+        chosen.append(best)
+        assert i == best and value == pytest.approx(f1(chosen))
+    assert len(got) == 3
+
+
+def test_checks_and_formats(spark):
+    assert checks.check_map({"a": "x", "b": None}, ["a", "b", "c"], ["x"]) == {"a": "x"}
+    with pytest.raises(ValueError, match=r"unknown keys \['z'\], unknown values \['y'\]"):
+        checks.check_map({"z": "y"}, ["a"], ["x"])
+    df = spark.createDataFrame([(1.0,), (3.26,), (None,), (float("nan"),), (float("-inf"),)], "x double")
+    assert checks.require_rows(df, 5) is df
+    with pytest.raises(ValueError, match="5 rows instead of 4"):
+        checks.require_rows(df, 4)
+    assert tuple(checks.share_of_rows(df, F.col("x") < 2).first()) == (5, 2, 40.0) and tuple(checks.share_of_rows(df.limit(0), F.col("x") < 2).first()) == (0, 0, 0.0)
+    assert [tuple(r) for r in df.select(checks.show_number(F.col("x")), checks.show_percent(F.col("x"), 0)).collect()] == [("1.0", "100%"), ("3.3", "326%"), ("—", "—"), ("—", "—"), ("—", "—")]
+    told = []
+    with checks.Stopwatch("work", told.append) as watch:
+        time.sleep(0.01)
+    assert 0.01 <= watch.seconds < 5 and watch.per_second(10) == pytest.approx(10 / watch.seconds) and told[0].startswith("work: ")
+
+
+def test_lookalike_tags_compat(spark):
+    strip = lambda t: clean.strip_tag_compat(t, "script")
+    for text, want in {"<p><scripts>z": "s>z", "a<script>x</script>b<scripty>c": "a<script></script>y>c", "<scripts>a<script b>c</script>d": "s>a<script b></script>d", "plain": "plain", "x" * 100_000 + "<script>y</script>": "x" * 100_000 + "<script></script>"}.items():
+        assert value(spark, text, strip) == want
+    df = spark.createDataFrame([("HTML", "<p><scripts>z")], "Language string, Snippet string")
+    assert clean.remove_sub_languages(df, compat=True).first().Snippet == "s>z"
+
+
+def test_model_cache_and_forest_nodes(spark, tmp_path):
+    df = spark.createDataFrame([([0], "t a", "x"), ([1], "t b", "y"), ([0, 1], "t c", "x"), ([], "t d", "y")] * 5, "active array<int>, Snippet string, Language string")
+    first, hit = train.cached_logistic(df, ["p", "q"], tmp_path, max_iter=20)
+    again, hit_again = train.cached_logistic(df, ["p", "q"], tmp_path, max_iter=20)
+    assert (hit, hit_again) == (False, True) and again.to_dict() == first.to_dict()
+    assert not train.cached_logistic(df, ["p", "q"], tmp_path, max_iter=21)[1] and len(list(tmp_path.iterdir())) == 2
+    fitted = train.classifier("random_forest", 2, 2).setNumTrees(3).fit(train.training_rows(df, ["x", "y"], 2, "Language"))
+    nodes = train.forest_nodes(fitted).collect()
+    assert len(nodes) == fitted.totalNumNodes and {n.tree for n in nodes} == {0, 1, 2}
+    ids = {(n.tree, n.id) for n in nodes}
+    assert all((n.left == -1) == (n.right == -1) and (n.left == -1 or {(n.tree, n.left), (n.tree, n.right)} <= ids) for n in nodes)
+
+
+def test_external_classifier_errors(spark):
+    script = "import sys, json\nfor x in sys.stdin:\n t = json.loads(x)['snippet']\n if t == 'end': break\n print()\n print(json.dumps({'error': 'no'} if t == 'bad' else {'predicted': t[:1] or None}), flush=True)"
+    df = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, None)], "id int, Snippet string").withColumn("error", F.lit("old")).coalesce(1)
+    got = {r.id: (r.predicted, r.error) for r in io.external_classifier(df, ["python", "-c", script], "Snippet").collect()}
+    assert got == {1: ("a", None), 2: (None, "no"), 3: (None, None)}
+    filled = io.external_classifier(df.replace("abc", "end"), ["python", "-c", script], "Snippet", fill="").collect()
+    assert [(r.predicted, r.error) for r in filled] == [("", "the process has ended")] * 3

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-OWN = [k for k in entry.oracle_sql() if not k.startswith("op")]
+ALL = list(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", OWN)
+@pytest.mark.parametrize("name", ALL)
 def test_query_equals_its_sql(spark, db, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = db.sql(entry.oracle_sql()[name]).df()
