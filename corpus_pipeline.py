@@ -1,7 +1,12 @@
 """A training corpus from raw documents: language, lines, near-duplicates, mixture, packed sequences.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, other columns go.
+
+Nulls and odd inputs: texts that are null, empty or without a letter go in the first stage; later stages
+take a null text as an empty one and keep rows with a null id; rows that repeat an id and text are one
+document to the line and near-duplicate stages, whose decisions hold for all of them; an empty table
+gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialize, read_table
+from glossa.llm.common import materialize, read_table, release, scratch_scope
 from glossa.llm.language import keep_known_languages
 from glossa.llm.line_dedup import dedup_lines
 from glossa.llm.mix_sources import mix_documents
@@ -60,7 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's scratch tables go when its result is written, and its input when the next one's is."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope():
+            done = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", scoped=False)
+        release(docs)
+        docs = done
     return docs
