@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
-from collections.abc import Iterator
-from contextlib import contextmanager
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossa.sources.scratch import materialize, release, scratch_scope  # noqa: F401  shared with the engine
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,55 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, one of our own, but only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{_own_scratch()}"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-@lru_cache(maxsize=1)
-def _own_scratch() -> str:
-    return tempfile.mkdtemp(prefix="glossa-scratch-")
-
-
-_scopes: list[list[DataFrame]] = []
-
-
-def materialize(df: DataFrame, name: str, scoped: bool = True) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors, and is computed once."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    if scoped and _scopes:
-        _scopes[-1].append(out)
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete the files of materialized frames that nothing reads any more; frames of another kind are left alone."""
-    for df in frames:
-        if path := getattr(df, "scratch_path", None):
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def scratch_scope() -> Iterator[None]:
-    """Release at the end all frames materialized inside, but for those with scoped=False."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        release(*_scopes.pop())
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; all-ASCII texts take the faster built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -1,6 +1,9 @@
 """The pipeline's stages on a small corpus, each against the plain version of its operator."""
 
+from pathlib import Path
+
 import corpus_pipeline as P
+from glossa.llm import common
 from tests.llm.test_operators import SCHEMA, brute_components, brute_lines, rows
 
 
@@ -23,6 +26,25 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
 
 
+def test_stages_of_an_empty_table_and_of_other_columns(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, stage in P.STAGES:
+        out = stage(spark, empty, "")
+        assert out.count() == 0 and (name == "pack" or out.columns == P.COLUMNS)
+    more = spark.createDataFrame([r for r in rows()[:12]], SCHEMA).selectExpr("*", "1 AS score", "2 AS kept", "3 AS component_id", "'x' AS lang_pred", "4 AS n_lines")
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, more, "").columns == P.COLUMNS, name
+
+
+def test_scratch_is_released(spark):
+    with common.scratch_scope():
+        inner, kept = common.materialize(spark.range(3), "test"), common.materialize(spark.range(3), "test", scoped=False)
+    folder = lambda df: Path(df.scratch_path.removeprefix("file://"))
+    assert not folder(inner).exists() and kept.count() == 3
+    common.release(kept, spark.range(3))
+    assert not folder(kept).exists()
+
+
 def test_run(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
